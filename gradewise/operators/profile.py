@@ -17,9 +17,22 @@ from gradewise.operators.quantiles import exact_quantiles
 
 
 def schema_table(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    rows = [(i, n, t) for i, (n, t) in enumerate(df.dtypes)]
-    return spark.createDataFrame(rows, "position int, column_name string, data_type string")
+    """Column, type, non-null count and approximate distinct count (HLL++
+    sketches merge map-side) — one pass over the table."""
+    aggs = []
+    for c in df.columns:
+        aggs += [F.count(c).alias(f"nn_{c}"), F.approx_count_distinct(c).alias(f"nd_{c}")]
+    wide = df.agg(*aggs)
+    types = dict(df.dtypes)
+    parts = [
+        wide.select(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.lit(types[c]).alias("data_type"),
+                    F.col(f"nn_{c}").alias("non_null"), F.col(f"nd_{c}").alias("approx_distinct"))
+        for i, c in enumerate(df.columns)
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def nulls(df: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewise.operators.neighbors import knn
+from gradewise.operators.prefix import bucketed_rank, hex_bucket
 
 
 def class_weights(counts: DataFrame, label: str) -> DataFrame:
@@ -56,12 +57,12 @@ def smote(df: DataFrame, key: str, label: str, vec: str, k: int = 5, seed: int =
     nn = knn(src, src, key, vec, k, partition=label, exclude_self=True)
     # rank within class by key hash: spreads the remainder evenly
     ranked = src.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
-    from gradewise.operators.prefix import bucketed_rank, hex_bucket
     ranked = bucketed_rank(ranked, [label], hex_bucket(F.col("_h")), [F.col("_h"), F.col(key)])
     m = F.lit(n_max) - F.col("_n")
     per_seed = F.floor(m / F.col("_n")).cast("int") + F.when(F.col("_rank") < m % F.col("_n"), 1).otherwise(0)
-    seeds = ranked.select(F.col(key).alias("seed_key"), label, F.col(vec).alias("_x"),
-                          F.explode(F.sequence(F.lit(0), per_seed - 1)).alias("j"))
+    seeds = ranked.withColumn("_per", per_seed).filter(F.col("_per") > 0).select(
+        F.col(key).alias("seed_key"), label, F.col(vec).alias("_x"),
+        F.explode(F.sequence(F.lit(0), F.col("_per") - 1)).alias("j"))
     n_nb = nn.groupBy("query_key").agg(F.count(F.lit(1)).alias("_k"))
     h = F.xxhash64(F.col("seed_key"), F.col("j"), F.lit(seed))
     seeds = seeds.join(n_nb.withColumnRenamed("query_key", "seed_key"), "seed_key")
