@@ -24,15 +24,12 @@ def schema_table(df: DataFrame) -> DataFrame:
         aggs += [F.count(c).alias(f"nn_{c}"), F.approx_count_distinct(c).alias(f"nd_{c}")]
     wide = df.agg(*aggs)
     types = dict(df.dtypes)
-    parts = [
-        wide.select(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.lit(types[c]).alias("data_type"),
-                    F.col(f"nn_{c}").alias("non_null"), F.col(f"nd_{c}").alias("approx_distinct"))
+    rows = F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.lit(types[c]).alias("data_type"),
+                 F.col(f"nn_{c}").alias("non_null"), F.col(f"nd_{c}").alias("approx_distinct"))
         for i, c in enumerate(df.columns)
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    ])
+    return wide.select(F.inline(rows))
 
 
 def nulls(df: DataFrame) -> DataFrame:
