@@ -53,6 +53,10 @@ def random_forest(p: RFParams, weight_col: str | None = None) -> RandomForestCla
     rf = RandomForestClassifier(
         featuresCol=FEATURES, labelCol=LABEL, numTrees=p.num_trees, maxDepth=p.max_depth,
         minInstancesPerNode=p.min_instances, featureSubsetStrategy="sqrt", seed=p.seed,
+        # more tree nodes split per pass over the data, node ids cached
+        # (checkpointed to the shared checkpoint folder) instead of
+        # re-shipping trees every iteration
+        maxMemoryInMB=1024, cacheNodeIds=True,
     )
     if weight_col and p.class_weight:
         rf.setWeightCol(weight_col)

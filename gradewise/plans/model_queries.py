@@ -19,10 +19,8 @@ from gradewise.operators.embeddings import embedding_dims
 from gradewise.operators.metrics import confusion_cells
 from gradewise.operators.resample import class_weights, smote, weight_column
 from gradewise.operators.separability import pca
-from gradewise.operators.split import stratified_split
 from gradewise.operators.tune import grid, search
 from gradewise.roles import NO_GPA_ROLES, STUDENT_ROLES, Roles
-from gradewise.sources.standin import student_table
 
 R = STUDENT_ROLES
 N_CLASSES = 5
@@ -37,7 +35,10 @@ def _memo(spark: SparkSession, key: tuple, build):
 
 
 def split_frame(spark, sf_dir, roles: Roles = R) -> DataFrame:
-    return stratified_split(student_table(spark, sf_dir), roles)
+    """The written stand-in + split table (same split for every scenario:
+    roles differ only in feature columns, never in key or label)."""
+    from gradewise.plans.queries import split_table
+    return split_table(spark, sf_dir)
 
 
 def feature_set_roles(name: str) -> Roles:
@@ -46,10 +47,8 @@ def feature_set_roles(name: str) -> Roles:
 
 
 def feature_set_frame(spark, sf_dir, name: str) -> DataFrame:
-    df = student_table(spark, sf_dir)
-    if name != "base":
-        df = df.withColumns(derived(FEATURE_SETS[name]))
-    return stratified_split(df, feature_set_roles(name))
+    df = split_frame(spark, sf_dir)
+    return df.withColumns(derived(FEATURE_SETS[name])) if name != "base" else df
 
 
 def prepared(spark, sf_dir, roles: Roles, kind: str, scale: bool = True, frame: DataFrame | None = None):
@@ -273,7 +272,7 @@ def q_embed_fm(spark, sf_dir):
     """Per category level, a latent vector learned by factorization machines
     over the one-hot inputs (mean over the one-vs-rest class models)."""
     a, cols = prepared(spark, sf_dir, R, "onehot")
-    dims = {r["feature"]: r["dim"] for r in embedding_dims(student_table(spark, sf_dir), list(R.categorical)).collect()}
+    dims = {r["feature"]: r["dim"] for r in embedding_dims(split_frame(spark, sf_dir), list(R.categorical)).collect()}
     k = max(dims.values())
     model = M.fit(M.fm_ovr(k, max_iter=20), _split(a, "train")).stages[-1]
     mats = [m.factors.toArray() for m in model.models]
@@ -289,7 +288,7 @@ def q_embed_fm(spark, sf_dir):
 
 def _pca(spark, sf_dir):
     def build():
-        df = student_table(spark, sf_dir).withColumns(derived(FEATURE_SETS["v1"]))
+        df = split_frame(spark, sf_dir).withColumns(derived(FEATURE_SETS["v1"]))
         cols = BASE_COLUMNS + FEATURE_SETS["v1"]
         proj, var, _tot = pca(df, cols, 3, key=R.key)
         return proj, var

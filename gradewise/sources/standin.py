@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewise.sources.tables import table
+from gradewise.sources.tables import spread, table
 
 # Net-price class cut points (class 0 is best) and the price
 # divisor that turns l_extendedprice into a GPA-like leak column.
@@ -42,10 +42,10 @@ def row_key_expr() -> Column:
 
 
 def student_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(
+    li = spread(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate",
-    )
+    ), "l_orderkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
