@@ -154,6 +154,41 @@ def q_mlp_history(spark, sf_dir):
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(hist)], "iteration int, loss double")
 
 
+# MLP search axes mirroring the reference grid (optimizer, epochs, batch):
+# Spark's solvers, iteration budget and block size.
+MLP_GRID = {"block_size": [32, 128], "max_iter": [10, 30], "solver": ["l-bfgs", "gd"]}
+
+
+def q_grid_search_mlp(spark, sf_dir):
+    """Fixed-validation grid search of the MLP; the winner has the highest
+    unrounded val macro F1, ties (isclose) broken by lower val log-loss."""
+    a, cols = prepared(spark, sf_dir, R, "onehot")
+
+    def make(cfg):
+        m = M.mlp(len(cols), [128, 64], N_CLASSES, max_iter=cfg["max_iter"], block=cfg["block_size"])
+        return m.setSolver(cfg["solver"])
+    cfgs = grid(MLP_GRID)
+    rows, best, _model = search(cfgs, make, _split(a, "train"), _split(a, "val"), with_loss=True)
+    out = [(i, r["block_size"], r["max_iter"], r["solver"], round(r["val_accuracy"], 4), round(r["val_f1_macro"], 4),
+            round(r["val_recall_macro"], 4), round(r["val_loss"], 4), i == best) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(out, "grid_index int, block_size int, max_iter int, solver string, val_accuracy double, "
+                                    "val_f1_macro double, val_recall_macro double, val_loss double, selected boolean")
+    return df.orderBy(F.col("val_f1_macro").desc(), F.col("val_accuracy").desc(), "grid_index")
+
+
+def q_encoding_benchmark(spark, sf_dir):
+    """The reference's per-encoding experiment: every categorical encoding
+    (continuous block + encoded block, scaled on train) feeding the same
+    MLP; test metrics and input width per encoding."""
+    out = None
+    for kind in enc.ENCODERS:
+        a, cols = prepared(spark, sf_dir, R, kind)
+        model = M.fit(M.mlp(len(cols), [128, 64], N_CLASSES, max_iter=20), _split(a, "train"))
+        m = M.scored_metrics(model.transform(_split(a, "test")), kind).withColumn("n_features", F.lit(len(cols)))
+        out = m if out is None else out.unionByName(m)
+    return out.withColumnRenamed("model", "encoding")
+
+
 # Hidden-layer variants of the depth experiments.
 MLP_VARIANTS = {
     "128-64": [128, 64],
@@ -312,6 +347,8 @@ MODEL_QUERIES = {
     "grid_search_rf": q_grid_search_rf,
     "model_rf_refit": q_model_rf_refit,
     "model_mlp": q_model_mlp,
+    "grid_search_mlp": q_grid_search_mlp,
+    "encoding_benchmark": q_encoding_benchmark,
     "mlp_history": q_mlp_history,
     "model_mlp_variants": q_model_mlp_variants,
     "model_mlp_weighted": q_model_mlp_weighted,
