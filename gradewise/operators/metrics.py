@@ -18,11 +18,13 @@ LABEL, PRED, N = "label", "prediction", "n"
 def confusion_cells(df: DataFrame, label: str, pred: str, by: list[str] | None = None) -> DataFrame:
     """All k x k cells per ``by`` group with zero counts filled in.
 
-    Columns: *by, label, prediction, n (bigint)."""
+    Columns: *by, label, prediction, n (bigint).  The cell table (at most
+    groups x k x k rows) is persisted: the label set, the zero fill and every
+    downstream metric branch read it instead of rescanning the scored rows."""
     by = list(by or [])
     cells = df.groupBy(*by, F.col(label).alias(LABEL), F.col(pred).alias(PRED)).agg(
         F.count(F.lit(1)).alias(N)
-    )
+    ).persist()
     labs = (
         cells.select(*by, F.explode(F.array(LABEL, PRED)).alias("_l"))
         .groupBy(*by)
@@ -33,7 +35,7 @@ def confusion_cells(df: DataFrame, label: str, pred: str, by: list[str] | None =
     )
     return grid.join(cells, [*by, LABEL, PRED], "left").select(
         *by, LABEL, PRED, F.coalesce(F.col(N), F.lit(0)).cast("long").alias(N)
-    )
+    ).persist()
 
 
 def normalized(cells: DataFrame, how: str, by: list[str] | None = None) -> DataFrame:

@@ -74,3 +74,14 @@ def test_box_stats_whiskers(spark):
     q1, q3 = np.percentile(vals, 25), np.percentile(vals, 75)
     assert (r["q1"], r["q3"]) == (q1, q3)
     assert r["whisker_hi"] == 20.0 and r["n_outliers"] == 1
+
+
+def test_running_sum_two_level_bins(spark, monkeypatch):
+    import gradewise.operators.prefix as px
+    monkeypatch.setattr(px, "BIN_TARGET_ROWS", 50)
+    # dense cluster of distinct values plus far outliers: one level-1 bin is heavy
+    vals = [i * 1e-6 for i in range(900)] + [1000.0, 2000.0]
+    df = spark.createDataFrame([("a", v, 1) for v in vals], "k string, v double, c int")
+    got = {r["v"]: r["cum_c"] for r in px.running_sum_by_bins(df, ["k"], "v", ["c"], n_bins=8).collect()}
+    for i, v in enumerate(sorted(vals)):
+        assert got[v] == i + 1
