@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewise.operators.quantiles import exact_quantiles
+from gradewise.session import bounded_broadcast, counted_broadcast
 
 
 def schema_table(df: DataFrame) -> DataFrame:
@@ -123,7 +124,7 @@ def kde(df: DataFrame, cols: list[str], grid: int = 200, fine_bins: int = 512, c
                F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * fine_bins), F.lit(fine_bins - 1))
                ).otherwise(F.lit(0)).cast("int")
     hist = (
-        long.join(F.broadcast(st.select("feature", "lo", "hi")), "feature")
+        long.join(bounded_broadcast(st.select("feature", "lo", "hi"), len(cols)), "feature")
         .groupBy("feature", b.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
         .groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("bin", "c"))).alias("hist"))
     )
@@ -152,7 +153,7 @@ def box_stats(df: DataFrame, cols: list[str], by: str) -> DataFrame:
     ).withColumn("iqr", F.col("q3") - F.col("q1"))
     q = q.withColumns({"fence_lo": F.col("q1") - 1.5 * F.col("iqr"), "fence_hi": F.col("q3") + 1.5 * F.col("iqr")})
     v = F.col("value")
-    agg = long.join(F.broadcast(q), ["feature", by]).groupBy("feature", by).agg(
+    agg = long.join(counted_broadcast(q), ["feature", by]).groupBy("feature", by).agg(
         F.min(F.when(v >= F.col("fence_lo"), v)).alias("whisker_lo"),
         F.max(F.when(v <= F.col("fence_hi"), v)).alias("whisker_hi"),
         F.count_if((v < F.col("fence_lo")) | (v > F.col("fence_hi"))).alias("n_outliers"),

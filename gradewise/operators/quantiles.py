@@ -16,6 +16,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gradewise.session import bounded_broadcast
+
 N_BINS = 4096
 SORT_MAX = 200_000
 MAX_ROUNDS = 12
@@ -56,7 +58,7 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs:
             intervals.setdefault((gkey, t["lo"], t["hi"], t["base"]), []).append(r)
         iv_rows = [(*g, i, float(lo), float(hi)) for i, (g, lo, hi, _b) in enumerate(intervals)]
         iv = spark.createDataFrame(iv_rows, schema=_iv_schema(df, group_cols))
-        j = d.join(F.broadcast(iv), group_cols).filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        j = d.join(bounded_broadcast(iv, len(iv_rows)), group_cols).filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
         width = F.col("_hi") - F.col("_lo")
         binned = j.withColumn("_b", F.least(F.floor((F.col("_v") - F.col("_lo")) / width * N_BINS), F.lit(N_BINS - 1)).cast("int"))
         bins = binned.groupBy("_iv", "_b").agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("mn"), F.max("_v").alias("mx")).collect()
@@ -98,14 +100,14 @@ def _resolve_by_sort(spark, d, df, group_cols, to_sort, targets):
         bins.setdefault((gkey, mn, mx, off), []).append(r)
     rows = [(*g, i, mn, mx) for i, (g, mn, mx, _o) in enumerate(bins)]
     iv = spark.createDataFrame(rows, schema=_iv_schema(df, group_cols))
-    j = d.join(F.broadcast(iv), group_cols).filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+    j = d.join(bounded_broadcast(iv, len(rows)), group_cols).filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
     want = []
     for i, (key, ranks) in enumerate(bins.items()):
         off = key[3]
         want += [(i, r - off) for r in ranks]
     wdf = spark.createDataFrame(want, "_iv int, _pos long")
     ranked = j.withColumn("_pos", (F.row_number().over(Window.partitionBy("_iv").orderBy("_v")) - 1).cast("long"))
-    got = ranked.join(F.broadcast(wdf), ["_iv", "_pos"]).select("_iv", "_pos", "_v").collect()
+    got = ranked.join(bounded_broadcast(wdf, len(want)), ["_iv", "_pos"]).select("_iv", "_pos", "_v").collect()
     keys = list(bins)
     for g in got:
         gkey, _mn, _mx, off = keys[g["_iv"]]

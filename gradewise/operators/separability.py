@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewise.operators.prefix import running_sum_by_bins
+from gradewise.session import bounded_broadcast
 
 KS_TERMS = 100
 
@@ -44,7 +45,7 @@ def ks_two_sample(df: DataFrame, features: list[str], label: str, pairs: list[tu
         *[F.count_if(F.col("_y") == c).alias(f"c{c}") for c in classes]).persist()
     cum = running_sum_by_bins(counts, ["feature"], "value", [f"c{c}" for c in classes])
     tots = counts.groupBy("feature").agg(*[F.sum(f"c{c}").alias(f"n{c}") for c in classes])
-    j = cum.join(F.broadcast(tots), "feature")
+    j = cum.join(bounded_broadcast(tots, len(features)), "feature")  # one row per feature
     aggs = []
     for a, b in pairs:
         gap = F.abs(F.col(f"cum_c{a}") / F.col(f"n{a}") - F.col(f"cum_c{b}") / F.col(f"n{b}"))

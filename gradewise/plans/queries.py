@@ -418,8 +418,6 @@ def q_predict_two_stage(spark, sf_dir):
 
 # ------------------------------------------------------------ neighbours
 
-EMB_ROLES = None
-
 
 def embedding_split(spark, sf_dir) -> DataFrame:
     """Embeddings as array<double>, split stratified by label on vec_id."""

@@ -36,7 +36,8 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "∅"
-        return repr(round(v, 9) + 0.0)
+        # STRICT=1 hashes the exact double (bitwise equality of both engines)
+        return repr(v + 0.0) if os.environ.get("STRICT") else repr(round(v, 9) + 0.0)
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
