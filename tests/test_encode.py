@@ -88,3 +88,17 @@ def test_constant_column_scales_to_zero(spark):
     out = standard_scale(df, ["a", "b"]).collect()
     assert [r.b for r in out] == [0.0, 0.0, 0.0]
     assert out[0].a == pytest.approx(-1.224744871391589)
+
+
+@pytest.mark.parametrize("kind", sorted(enc.ENCODERS))
+def test_encoders_preserve_rows_and_ignore_partitioning(spark, kind):
+    from gradewise.operators.split import stratified_split
+    from gradewise.roles import STUDENT_ROLES as R
+    from gradewise.sources.standin import student_table
+    from conftest import SF_SMALL
+    base = stratified_split(student_table(spark, SF_SMALL), R).persist()
+    a, cols = enc.encode(base, R, kind, scale=True, digits=9)
+    b, _ = enc.encode(base.repartition(5), R, kind, scale=True, digits=9)
+    assert a.count() == base.count()
+    sa, sb = a.select(R.key, *cols), b.select(R.key, *cols)
+    assert sa.exceptAll(sb).count() == 0

@@ -70,3 +70,13 @@ def test_grid_order_and_best_rule():
             {"val_f1_macro": 0.79930000001, "val_loss": 0.5}]
     assert select_best(rows, "val_f1_macro", "val_loss") == 2
     assert select_best(rows[:2], "val_f1_macro", "val_loss") == 0
+
+
+def test_rf_with_leak_column_beats_majority_and_ranks_it_first(spark):
+    from conftest import SF_SMALL
+    from gradewise.plans import model_queries as mq
+    m = mq.q_model_rf(spark, SF_SMALL).first()
+    maj = [r for r in __import__("gradewise.plans.queries", fromlist=["x"]).q_model_comparison(spark, SF_SMALL).collect()
+           if r["model"] == "majority"][0]
+    assert m["accuracy"] > maj["accuracy"] + 0.2
+    assert mq.q_rf_importance(spark, SF_SMALL).orderBy("rank").first()["feature"] == "GPA"
