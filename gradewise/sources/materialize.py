@@ -6,8 +6,10 @@ query: lineage is cut, a lost executor re-reads files instead of replaying
 the joins and window, and later scans prune columns and push filters.
 
 The path carries a code version and a fingerprint of the inputs (path,
-length and modification time through the Hadoop FileSystem API), so a
+length and modification time of every file), so a
 change of data or of the preparation code never reuses a stale table.
+File status comes from the ``binaryFile`` source without its ``content``
+column, so no file body is read.
 """
 
 from __future__ import annotations
@@ -15,37 +17,47 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from gradewise.session import shared_path
 
 
+def _file_status(spark: SparkSession, path: str) -> list[tuple]:
+    try:
+        rows = (spark.read.format("binaryFile").load(path)
+                .select("path", "length", "modificationTime").collect())
+    except AnalysisException:  # missing path
+        return []
+    return sorted((r["path"], r["length"], str(r["modificationTime"])) for r in rows)
+
+
 def _fingerprint(spark: SparkSession, paths: list[str]) -> str:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     h = hashlib.md5()
     for p in paths:
         h.update(p.encode())
-        try:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            fs = path.getFileSystem(conf)
-            for st in fs.listStatus(path):
-                h.update(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}".encode())
-        except Exception:  # noqa: BLE001 - unreadable status: path-only key
-            pass
+        for st in _file_status(spark, p):
+            h.update(repr(st).encode())
     return h.hexdigest()[:16]
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    return bool(p.getFileSystem(conf).exists(p))
+    return bool(_file_status(spark, f"{path}/_SUCCESS"))
+
+
+_RESOLVED: dict[tuple, str] = {}
 
 
 def materialized(spark: SparkSession, name: str, version: str, inputs: list[str],
                  build: Callable[[], DataFrame]) -> DataFrame:
-    path = shared_path(spark, f"{name}_{version}_{_fingerprint(spark, inputs)}")
-    if not _exists(spark, path):
-        build().write.mode("overwrite").parquet(path)
+    """Write ``build()`` once per (inputs, version) and scan the written
+    table; the resolved path is remembered for the rest of the application
+    so later queries go straight to the scan."""
+    memo_key = (spark.sparkContext.applicationId, name, version, tuple(inputs))
+    path = _RESOLVED.get(memo_key)
+    if path is None:
+        path = shared_path(spark, f"{name}_{version}_{_fingerprint(spark, inputs)}")
+        if not _exists(spark, path):
+            build().write.mode("overwrite").parquet(path)
+        _RESOLVED[memo_key] = path
     return spark.read.parquet(path)
