@@ -24,7 +24,7 @@ def ks_pvalue(d: Column, n_a: Column, n_b: Column) -> Column:
     """Asymptotic two-sided p with the small-sample correction
     lambda = (sqrt(ne) + 0.12 + 0.11 / sqrt(ne)) * D, ne = na nb / (na + nb);
     p = 2 sum_j (-1)^(j-1) exp(-2 j^2 lambda^2), clipped to [0, 1]."""
-    ne = n_a * n_b / (n_a + n_b)
+    ne = F.when((n_a > 0) & (n_b > 0), n_a * n_b / (n_a + n_b))  # NULL if a class is absent
     lam = (F.sqrt(ne) + 0.12 + 0.11 / F.sqrt(ne)) * d
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(KS_TERMS)), F.lit(0.0),
@@ -48,7 +48,8 @@ def ks_two_sample(df: DataFrame, features: list[str], label: str, pairs: list[tu
     j = cum.join(bounded_broadcast(tots, len(features)), "feature")  # one row per feature
     aggs = []
     for a, b in pairs:
-        gap = F.abs(F.col(f"cum_c{a}") / F.col(f"n{a}") - F.col(f"cum_c{b}") / F.col(f"n{b}"))
+        ok = (F.col(f"n{a}") > 0) & (F.col(f"n{b}") > 0)  # ANSI-safe: NULL if a class is absent
+        gap = F.when(ok, F.abs(F.col(f"cum_c{a}") / F.col(f"n{a}") - F.col(f"cum_c{b}") / F.col(f"n{b}")))
         aggs.append(F.max(gap).alias(f"ks_{a}vs{b}"))
     d = j.groupBy("feature").agg(*aggs).join(tots, "feature")
     out = [F.col("feature")]
@@ -75,7 +76,8 @@ def auc_binary(df: DataFrame, score: str, positive: Column, negative: Column, na
     )
     return agg.select(
         F.col("_k").alias("comparison"),
-        (F.col("num").cast("double") / (2.0 * F.col("P").cast("double") * F.col("N").cast("double"))).alias("auc"),
+        F.when((F.col("P") > 0) & (F.col("N") > 0),
+               F.col("num").cast("double") / (2.0 * F.col("P").cast("double") * F.col("N").cast("double"))).alias("auc"),
         F.col("P").cast("long").alias("n_pos"), F.col("N").cast("long").alias("n_neg"),
     )
 

@@ -85,3 +85,11 @@ def test_running_sum_two_level_bins(spark, monkeypatch):
     got = {r["v"]: r["cum_c"] for r in px.running_sum_by_bins(df, ["k"], "v", ["c"], n_bins=8).collect()}
     for i, v in enumerate(sorted(vals)):
         assert got[v] == i + 1
+
+
+def test_ks_and_auc_with_an_absent_class_give_null(spark):
+    df = spark.createDataFrame([(0, 1.0), (0, 2.0), (4, 3.0)], "y int, x double")
+    r = ks_two_sample(df, ["x"], "y", [(0, 1), (0, 4)]).first()
+    assert r["ks_0vs1"] is None and r["ks_0vs4"] == 1.0
+    a = auc_binary(df, "x", F.col("y") == 1, F.col("y") == 0, "t").collect()
+    assert all(row["auc"] is None for row in a)
