@@ -165,7 +165,7 @@ def leave_one_out(df: DataFrame, roles: Roles, stats: CategoryStats | None = Non
 def frequency(df: DataFrame, roles: Roles, stats: CategoryStats | None = None) -> tuple[DataFrame, list[str]]:
     """Share of train rows with the level; unseen -> 0."""
     stats = stats or CategoryStats(df, roles)
-    lookup = stats.per_value().select("feature", "value", (F.col("tot_n") / F.lit(stats.n_train)).alias("enc"))
+    lookup = stats.per_value().select("feature", "value", (F.col("tot_n") / F.lit(max(stats.n_train, 1))).alias("enc"))
     names = {c: f"{c}_freq" for c in stats.cols}
     out = apply_lookup(df, lookup, stats.cols, ["enc"], lambda c, e: names[c])
     out = out.withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) for n in names.values()})

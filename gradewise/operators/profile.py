@@ -138,6 +138,7 @@ def kde(df: DataFrame, cols: list[str], grid: int = 200, fine_bins: int = 512, c
             -0.5 * F.pow((F.col("x") - (F.col("lo") + (e["bin"] + 0.5) * F.col("w"))) / F.col("h"), 2)
         ),
     ) / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))
+    dens = F.when(F.col("h") > 0, dens)  # constant feature: no bandwidth, NULL density
     return j.select("feature", "point", "x", dens.alias("density"))
 
 

@@ -93,3 +93,10 @@ def test_ks_and_auc_with_an_absent_class_give_null(spark):
     assert r["ks_0vs1"] is None and r["ks_0vs4"] == 1.0
     a = auc_binary(df, "x", F.col("y") == 1, F.col("y") == 0, "t").collect()
     assert all(row["auc"] is None for row in a)
+
+
+def test_kde_constant_feature_is_null_not_an_error(spark):
+    df = spark.createDataFrame([(1.0, float(i)) for i in range(50)], "c double, v double")
+    rows = prof.kde(df, ["c", "v"], grid=10).collect()
+    assert all(r["density"] is None for r in rows if r["feature"] == "c")
+    assert all(r["density"] is not None and r["density"] >= 0 for r in rows if r["feature"] == "v")
