@@ -60,12 +60,13 @@ def smote(df: DataFrame, key: str, label: str, vec: str, k: int = 5, seed: int =
     ranked = bucketed_rank(ranked, [label], hex_bucket(F.col("_h")), [F.col("_h"), F.col(key)])
     m = F.lit(n_max) - F.col("_n")
     per_seed = F.floor(m / F.col("_n")).cast("int") + F.when(F.col("_rank") < m % F.col("_n"), 1).otherwise(0)
-    seeds = ranked.withColumn("_per", per_seed).filter(F.col("_per") > 0).select(
-        F.col(key).alias("seed_key"), label, F.col(vec).alias("_x"),
+    # neighbours per seed = min(k, n_c - 1); a singleton class has none and
+    # cannot seed synthetic rows
+    seeds = ranked.withColumns({"_per": per_seed, "_k": F.least(F.lit(k), F.col("_n") - 1)}).filter(
+        (F.col("_per") > 0) & (F.col("_k") > 0)).select(
+        F.col(key).alias("seed_key"), label, F.col(vec).alias("_x"), "_k",
         F.explode(F.sequence(F.lit(0), F.col("_per") - 1)).alias("j"))
-    n_nb = nn.groupBy("query_key").agg(F.count(F.lit(1)).alias("_k"))
     h = F.xxhash64(F.col("seed_key"), F.col("j"), F.lit(seed))
-    seeds = seeds.join(n_nb.withColumnRenamed("query_key", "seed_key"), "seed_key")
     seeds = seeds.withColumns({
         "nn_rank": (F.pmod(h, F.col("_k")) + 1).cast("int"),
         "lambda": F.pmod(F.xxhash64(F.col("seed_key"), F.col("j"), F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30),
