@@ -555,6 +555,41 @@ best AS (SELECT qid, qlabel, tlabel, row_number() OVER (PARTITION BY qid ORDER B
 SELECT qid AS vec_id, qlabel AS label, CAST(tlabel AS INTEGER) AS prediction FROM best WHERE r2 = 1"""
 
 
+def _class_weights_labels() -> str:
+    return """WITH l AS (SELECT 'quality' AS target, quality AS value FROM labels UNION ALL SELECT 'toxic', toxic FROM labels),
+c AS (SELECT target, value, count(*) AS n FROM l GROUP BY target, value)
+SELECT target, value, n, round(sum(n) OVER (PARTITION BY target) / (count(*) OVER (PARTITION BY target) * n), 6) AS weight FROM c"""
+
+
+def _histogram_events() -> str:
+    return """WITH mm AS (SELECT min(CAST(value AS DOUBLE)) AS lo, max(CAST(value AS DOUBLE)) AS hi FROM events),
+bn AS (SELECT event_type, CAST(CASE WHEN hi <= lo THEN 0 ELSE least(floor((CAST(value AS DOUBLE) - lo) / (hi - lo) * 20), 19) END AS INTEGER) AS bin, lo, hi
+       FROM events CROSS JOIN mm)
+SELECT 'value' AS feature, event_type, bin, 20 AS n_bins, round(lo + bin * ((hi - lo) / 20), 6) AS bin_lo,
+  round(lo + (bin + 1) * ((hi - lo) / 20), 6) AS bin_hi, count(*) AS n FROM bn GROUP BY event_type, bin, lo, hi"""
+
+
+def _ks_events() -> str:
+    from gradewise.plans.queries import EVENT_PAIRS
+    types = sorted({t for p in EVENT_PAIRS for t in p})
+    cnt = ", ".join(f"count(CASE WHEN event_type = '{t}' THEN 1 END) AS c_{t}" for t in types)
+    cums = ", ".join(f"sum(c_{t}) OVER w AS k_{t}, sum(c_{t}) OVER () AS n_{t}" for t in types)
+
+    def pv(d, a, b):
+        ne = f"(CAST(n_{a} AS DOUBLE) * CAST(n_{b} AS DOUBLE) / (CAST(n_{a} AS DOUBLE) + CAST(n_{b} AS DOUBLE)))"
+        lam = f"((sqrt({ne}) + 0.12 + 0.11 / sqrt({ne})) * {d})"
+        series = (f"list_reduce(list_prepend(0.0, list_transform(range(1, 101), lambda j: (CASE WHEN j % 2 = 1 THEN 1.0 ELSE -1.0 END) "
+                  f"* exp(-2.0 * j * j * {lam} * {lam}))), lambda x, z: x + z)")
+        return f"CASE WHEN {lam} < 0.2 THEN 1.0 ELSE least(greatest(2.0 * {series}, 0.0), 1.0) END"
+    ds = ", ".join(f"max(abs(k_{a} / n_{a} - k_{b} / n_{b})) AS d_{a}_{b}" for a, b in EVENT_PAIRS)
+    ns = ", ".join(f"any_value(n_{t}) AS n_{t}" for t in types)
+    sel = ", ".join(f"round(d_{a}_{b}, 6) AS ks_{a}vs{b}, round({pv(f'd_{a}_{b}', a, b)}, 6) AS p_{a}vs{b}" for a, b in EVENT_PAIRS)
+    return f"""WITH c AS (SELECT CAST(value AS DOUBLE) AS value, {cnt} FROM events WHERE event_type IN ({', '.join(repr(t) for t in types)}) GROUP BY 1),
+cu AS (SELECT *, {cums} FROM c WINDOW w AS (ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+d AS (SELECT {ds}, {ns} FROM cu)
+SELECT 'value' AS feature, {sel} FROM d"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "features_base": _features_base(),
@@ -607,4 +642,7 @@ def oracle_sql() -> dict[str, str]:
         "predict_ordinal": _ordinal(),
         "predict_two_stage": _two_stage(),
         "knn_classify": _knn(),
+        "class_weights_labels": _class_weights_labels(),
+        "profile_histogram_events": _histogram_events(),
+        "ks_events": _ks_events(),
     }

@@ -416,6 +416,35 @@ def q_predict_two_stage(spark, sf_dir):
     return t.select(R.key, R.label, rules.two_stage(F.col("_p")[4], rest).alias("pred_two_stage"))
 
 
+# ------------------------------------------------- other given tables
+
+LABEL_TARGETS = ["quality", "toxic"]
+EVENT_PAIRS = [("click", "purchase"), ("view", "purchase")]
+
+
+def q_class_weights_labels(spark, sf_dir):
+    """Class weights n / (k * n_c) for each binary target of ``labels``."""
+    lab = table(spark, sf_dir, "labels").select(*LABEL_TARGETS)
+    counts = lab.unpivot([], LABEL_TARGETS, "target", "value").groupBy("target", "value").agg(
+        F.count(F.lit(1)).alias("n"))
+    from pyspark.sql import Window
+    w = Window.partitionBy("target")
+    return counts.select("target", "value", "n",
+                         _r(F.sum("n").over(w) / (F.count(F.lit(1)).over(w) * F.col("n"))).alias("weight"))
+
+
+def q_profile_histogram_events(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_type", "value")
+    return _hist_out(prof.histogram(ev, ["value"], 20, by=["event_type"]), ["event_type"])
+
+
+def q_ks_events(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_type", "value")
+    ks = ks_two_sample(ev, ["value"], "event_type", EVENT_PAIRS)
+    cols = [c for a, b in EVENT_PAIRS for c in (f"ks_{a}vs{b}", f"p_{a}vs{b}")]
+    return ks.select("feature", *rounded(cols))
+
+
 # ------------------------------------------------------------ neighbours
 
 
@@ -492,6 +521,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "predict_thresholds": q_predict_thresholds,
     "predict_ordinal": q_predict_ordinal,
     "predict_two_stage": q_predict_two_stage,
+    # other given tables
+    "class_weights_labels": q_class_weights_labels,
+    "profile_histogram_events": q_profile_histogram_events,
+    "ks_events": q_ks_events,
     # neighbours
     "knn_classify": q_knn_classify,
 }
