@@ -45,8 +45,8 @@ def student_stream(spark: SparkSession, sf_dir: str, lineitem_glob: str) -> Data
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    j = (li.join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
-         .join(cust, F.col("c_custkey") == F.col("o_custkey"))
+    oc = orders.join(cust, F.col("c_custkey") == F.col("o_custkey"))
+    j = (li.join(oc, F.col("o_orderkey") == F.col("l_orderkey"))
          .join(part, F.col("p_partkey") == F.col("l_partkey"))
          .join(supp, F.col("s_suppkey") == F.col("l_suppkey")))
     price = F.col("l_extendedprice")
