@@ -48,7 +48,7 @@ def class_distribution(df: DataFrame, label: str) -> DataFrame:
     return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
 
 
-def _minmax(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
+def minmax(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
     row = df.agg(*[x for c in cols for x in (F.min(F.col(c).cast("double")).alias(f"lo_{c}"),
                                               F.max(F.col(c).cast("double")).alias(f"hi_{c}"))]).first()
     return {c: (row[f"lo_{c}"], row[f"hi_{c}"]) for c in cols}
@@ -62,11 +62,13 @@ def bin_expr(col: str, lo: float, hi: float, n_bins: int):
 
 
 def histogram(df: DataFrame, cols: list[str], n_bins: int = 20, by: list[str] | None = None,
-              bins: dict[str, int] | None = None) -> DataFrame:
+              bins: dict[str, int] | None = None,
+              ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Equal-width histogram per feature (optionally per ``by`` group):
-    feature, [by], bin, n_bins, bin_lo, bin_hi, n."""
+    feature, [by], bin, n_bins, bin_lo, bin_hi, n.  ``ranges`` reuses
+    per-feature ranges already computed (saves a pass)."""
     by = list(by or [])
-    mm = _minmax(df, cols)
+    mm = ranges or minmax(df, cols)
     nb = {c: (bins or {}).get(c, n_bins) for c in cols}
     binned = df.select(*by, *[bin_expr(c, *mm[c], nb[c]).alias(c) for c in cols])
     long = binned.unpivot(by, cols, "feature", "bin")
@@ -83,12 +85,12 @@ def histogram(df: DataFrame, cols: list[str], n_bins: int = 20, by: list[str] |
     )
 
 
-def auto_bins(df: DataFrame, cols: list[str]) -> dict[str, int]:
+def auto_bins(df: DataFrame, cols: list[str], ranges: dict[str, tuple[float, float]] | None = None) -> dict[str, int]:
     """NumPy 'auto' rule: the smaller of the Sturges and Freedman-Diaconis
     bin widths; exact quartiles."""
     long = df.unpivot([], cols, "feature", "value").select("feature", F.col("value").cast("double").alias("value"))
     qs = exact_quantiles(long, ["feature"], "value", [0.25, 0.75]).collect()
-    mm = _minmax(df, cols)
+    mm = ranges or minmax(df, cols)
     q = {(r["feature"], r["q"]): r["value"] for r in qs}
     n = {r["feature"]: r["n"] for r in qs}
     out = {}

@@ -192,7 +192,8 @@ def q_profile_histogram(spark, sf_dir):
 def q_profile_histogram_by_class(spark, sf_dir):
     df = standin(spark, sf_dir)
     cols = list(R.continuous)
-    return _hist_out(prof.histogram(df, cols, by=[R.label], bins=prof.auto_bins(df, cols)), [R.label])
+    mm = prof.minmax(df, cols)  # one pass, shared by the bin rule and the binning
+    return _hist_out(prof.histogram(df, cols, by=[R.label], bins=prof.auto_bins(df, cols, mm), ranges=mm), [R.label])
 
 
 def q_profile_kde(spark, sf_dir):
