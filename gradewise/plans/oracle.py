@@ -561,6 +561,13 @@ c AS (SELECT target, value, count(*) AS n FROM l GROUP BY target, value)
 SELECT target, value, n, round(sum(n) OVER (PARTITION BY target) / (count(*) OVER (PARTITION BY target) * n), 6) AS weight FROM c"""
 
 
+def _smote_counts_labels() -> str:
+    return """WITH l AS (SELECT 'quality' AS target, quality AS value FROM labels UNION ALL SELECT 'toxic', toxic FROM labels),
+c AS (SELECT target, value, count(*) AS n FROM l GROUP BY target, value)
+SELECT target, value, n AS n_before, max(n) OVER (PARTITION BY target) - n AS n_synthetic,
+  max(n) OVER (PARTITION BY target) AS n_after FROM c"""
+
+
 def _histogram_events() -> str:
     return """WITH mm AS (SELECT min(CAST(value AS DOUBLE)) AS lo, max(CAST(value AS DOUBLE)) AS hi FROM events),
 bn AS (SELECT event_type, CAST(CASE WHEN hi <= lo THEN 0 ELSE least(floor((CAST(value AS DOUBLE) - lo) / (hi - lo) * 20), 19) END AS INTEGER) AS bin, lo, hi
@@ -643,6 +650,7 @@ def oracle_sql() -> dict[str, str]:
         "predict_two_stage": _two_stage(),
         "knn_classify": _knn(),
         "class_weights_labels": _class_weights_labels(),
+        "smote_counts_labels": _smote_counts_labels(),
         "profile_histogram_events": _histogram_events(),
         "ks_events": _ks_events(),
     }

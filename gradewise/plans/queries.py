@@ -434,6 +434,18 @@ def q_class_weights_labels(spark, sf_dir):
                          _r(F.sum("n").over(w) / (F.count(F.lit(1)).over(w) * F.col("n"))).alias("weight"))
 
 
+def q_smote_counts_labels(spark, sf_dir):
+    """SMOTE plan per binary target of ``labels``: every minority value is
+    brought to the majority count."""
+    from pyspark.sql import Window
+    lab = table(spark, sf_dir, "labels").select(*LABEL_TARGETS)
+    counts = lab.unpivot([], LABEL_TARGETS, "target", "value").groupBy("target", "value").agg(
+        F.count(F.lit(1)).alias("n"))
+    mx = F.max("n").over(Window.partitionBy("target"))
+    return counts.select("target", "value", F.col("n").alias("n_before"), (mx - F.col("n")).alias("n_synthetic"),
+                         mx.alias("n_after"))
+
+
 def q_profile_histogram_events(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("event_type", "value")
     return _hist_out(prof.histogram(ev, ["value"], 20, by=["event_type"]), ["event_type"])
@@ -524,6 +536,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "predict_two_stage": q_predict_two_stage,
     # other given tables
     "class_weights_labels": q_class_weights_labels,
+    "smote_counts_labels": q_smote_counts_labels,
     "profile_histogram_events": q_profile_histogram_events,
     "ks_events": q_ks_events,
     # neighbours
