@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradewise.llm.tables import release, written
+from gradewise.llm.tables import written
 from gradewise.llm.words import blocks, words_of
 
 WINDOW = 13
@@ -47,9 +47,8 @@ FLUSH_SUFFIXES = 2_000_000  # suffixes a map task holds before it writes its pie
 
 _PIECE = T.StructType([T.StructField("grp", T.IntegerType())] + [
     T.StructField(c, T.BinaryType()) for c in ("ids", "marks", "runs", "places", "codes", "extra")])
-_FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("mark", T.LongType()),
-                       T.StructField("places", T.BinaryType())] + _PIECE.fields[:3] + [
-    T.StructField("runs", T.BinaryType()), T.StructField("rep_places", T.BinaryType())] + _PIECE.fields[5:])
+_FOUND = T.StructType([T.StructField("representative", T.BooleanType()), *_PIECE.fields])
+_REPEATS = "doc_id long, mark long, places binary"
 
 
 def prefix_lengths(window: int) -> list[int]:
@@ -149,12 +148,11 @@ class Plan:
             out[open_] = where[b[open_]]
         open_ = np.flatnonzero(out < 0)
         if len(open_):
-            out[open_] = self.groups + (ids[open_].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                                        >> np.uint64(33)).astype(np.int64) % max(self.spread, 1)
+            out[open_] = self.groups + _scatter(ids[open_], max(self.spread, 1))
         return out
 
 
-def _pieces(grp, ids, marks, place, code, extra) -> Iterator[list]:
+def _pieces(grp, ids, marks, place, code=None, extra=None) -> Iterator[list]:
     """One row per group of the suffixes held, documents run-length coded."""
     order = np.argsort(grp.astype(np.uint16) if grp.max(initial=0) < 65536 else grp, kind="stable")
     grp = grp[order]
@@ -167,17 +165,23 @@ def _pieces(grp, ids, marks, place, code, extra) -> Iterator[list]:
         step = np.diff(p, prepend=0)
         step[at] = p[at]
         yield [_squeeze(d[at]), _squeeze(m[at].astype(np.uint32)), _squeeze(np.diff(at, append=len(seg)).astype(np.uint32)),
-               _squeeze(step.astype(np.uint32)), code[seg].tobytes(), extra[seg].tobytes()]
+               _squeeze(step.astype(np.uint32)), None if code is None else code[seg].tobytes(),
+               None if extra is None else extra[seg].tobytes()]
 
 
-def _unpiece(ids, marks, runs, places, codes, extra):
+def _unpiece(ids, marks, runs, places):
     n = _expand(runs, np.uint32).astype(np.int64)
     at = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
     step = _expand(places, np.uint32).astype(np.int64)
     p = np.cumsum(step)
     p -= np.repeat(p[at] - step[at], n)
-    return (np.repeat(_expand(ids, np.int64), n), np.repeat(_expand(marks, np.uint32), n), p.astype(np.uint32),
-            np.frombuffer(codes, np.uint64), np.frombuffer(extra, np.uint16))
+    return np.repeat(_expand(ids, np.int64), n), np.repeat(_expand(marks, np.uint32), n), p.astype(np.uint32)
+
+
+def _leaves(table: pa.Table):
+    """Document, mark and place of all suffixes in a group's pieces."""
+    cols = [table.column(c).to_pylist() for c in ("ids", "marks", "runs", "places")]
+    return (np.concatenate(x) for x in zip(*(_unpiece(*row) for row in zip(*cols))))
 
 
 def deep_nodes(code: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,45 +198,47 @@ def deep_nodes(code: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _tree(spread_from: int, groups: int):
-    """Build one group's subtree; give repeats by document and, for a prefix
-    that was dealt to several groups, one representative of each node."""
+    """Build one group's subtree; give its repeats in pieces by document bucket
+    and, for a prefix that was dealt to several groups, representatives of
+    each node in pieces by code."""
 
     def build(table: pa.Table) -> pa.Table:
-        out = {f.name: [] for f in _FOUND.fields}
-        cols = [table.column(c).to_pylist() for c in ("ids", "marks", "runs", "places", "codes", "extra")]
-        got = [_unpiece(*row) for row in zip(*cols)]
-        ids, marks, place, code, extra = (np.concatenate(x) for x in zip(*got))
-        del got, cols
+        ids, marks, place = _leaves(table)
+        code = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("codes")])
+        extra = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in table.column("extra")])
         order, at = deep_nodes(code, extra)
-        smallest = np.minimum.reduceat(ids[order], at)
-        sizes = np.diff(at, append=len(order))
-        repeat = order[ids[order] > np.repeat(smallest, sizes)]
-        by = repeat[np.lexsort((place[repeat], marks[repeat], ids[repeat]))]
-        d, m = ids[by], marks[by]
-        cut = np.flatnonzero((d[1:] != d[:-1]) | (m[1:] != m[:-1])) + 1 if len(by) else []
-        for seg in np.split(by, cut) if len(by) else []:
-            out["doc_id"].append(int(ids[seg[0]]))
-            out["mark"].append(int(marks[seg[0]]))
-            out["places"].append(np.ascontiguousarray(place[seg]).tobytes())
-            for c in ("grp", "ids", "marks", "runs", "rep_places", "codes", "extra"):
-                out[c].append(None)
+        smallest = np.repeat(np.minimum.reduceat(ids[order], at), np.diff(at, append=len(order)))
+        rows = []
+        repeat = order[ids[order] > smallest]
+        if len(repeat):
+            by = repeat[np.lexsort((place[repeat], marks[repeat], ids[repeat]))]
+            bucket = _scatter(ids[by], groups)
+            rows += [[False, int(g), *p] for g, p in zip(np.unique(bucket), _pieces(bucket, ids[by], marks[by], place[by]))]
         if spread_from >= 0 and table.column("grp")[0].as_py() >= spread_from:
-            # every leaf of the smallest document stands for the node
-            keep = np.sort(order[ids[order] == np.repeat(smallest, sizes)])
-            target = (code[keep] >> np.uint64(20)).astype(np.int64) % groups
-            seg_of = np.unique(target)
-            for g, piece in zip(seg_of, _pieces(target.astype(np.int32), ids[keep], marks[keep], place[keep], code[keep], extra[keep])):
-                for c, v in zip(("ids", "marks", "runs", "rep_places", "codes", "extra"), piece):
-                    out[c].append(v)
-                out["grp"].append(int(g))
-                for c in ("doc_id", "mark", "places"):
-                    out[c].append(None)
-        types = {"doc_id": pa.int64(), "mark": pa.int64(), "grp": pa.int32()}
-        return pa.table({c: pa.array(v, types.get(c, pa.binary())) for c, v in out.items()})
+            keep = np.sort(order[ids[order] == smallest])  # the smallest document's leaves stand for the node
+            bucket = _scatter(code[keep], groups)
+            rows += [[True, int(g), *p] for g, p in zip(np.unique(bucket), _pieces(
+                bucket, ids[keep], marks[keep], place[keep], code[keep], extra[keep]))]
+        kinds = [pa.bool_(), pa.int32()] + [pa.binary()] * 6
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], _FOUND.names)
 
     return build
 
 
+def _scatter(x: np.ndarray, n: int) -> np.ndarray:
+    return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(n)).astype(np.int32)
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """One row per document of a bucket with all its repeated places."""
+    ids, marks, place = _leaves(table)
+    order = np.lexsort((place, marks, ids))
+    ids, marks, place = ids[order], marks[order], place[order]
+    at = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])]))
+    return pa.table({"doc_id": ids[at], "mark": marks[at].astype(np.int64),
+                     "places": pa.array([x.tobytes() for x in np.split(place, at[1:])], pa.binary())})
+
+
 def repeated_places(docs: DataFrame, window: int = WINDOW, group_suffixes: int = GROUP_SUFFIXES,
                     bits: int | None = None) -> DataFrame:
     """``doc_id, mark, places``: the words at which a window begins that also
@@ -246,9 +252,8 @@ def repeated_places(docs: DataFrame, window: int = WINDOW, group_suffixes: int =
         bits = min(20, max(14, (rows.rdd.getNumPartitions() * 64 - 1).bit_length()))
     counts = prefix_counts(rows.select("text"), window, bits)
     total = int(counts[0].sum())
-    none = spark.createDataFrame([], "doc_id long, mark long, places array<binary>")
     if not total:
-        return none
+        return spark.createDataFrame([], _REPEATS)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = max(2 * partitions, math.ceil(total / group_suffixes))
     plan = spark.sparkContext.broadcast(Plan(counts, groups))  # 4 bytes a counter
@@ -280,15 +285,11 @@ def repeated_places(docs: DataFrame, window: int = WINDOW, group_suffixes: int =
 
     pieces = rows.mapInArrow(cut, _PIECE)
     found = written(pieces.groupBy("grp").applyInArrow(_tree(groups if spread else -1, groups), _FOUND), "repeats")
-    repeats = found.where(F.col("doc_id").isNotNull()).select("doc_id", "mark", "places")
+    repeats = found.where(~F.col("representative"))
     if spread:
-        reps = (found.where(F.col("grp").isNotNull())
-                .select("grp", "ids", "marks", "runs", F.col("rep_places").alias("places"), "codes", "extra"))
-        again = reps.groupBy("grp").applyInArrow(_tree(-1, groups), _FOUND)
-        repeats = repeats.unionByName(written(again, "repeats-spread").where(F.col("doc_id").isNotNull())
-                                      .select("doc_id", "mark", "places"))
-    release(spark)
-    return repeats.groupBy("doc_id", "mark").agg(F.collect_list("places").alias("places"))
+        again = found.where("representative").groupBy("grp").applyInArrow(_tree(-1, groups), _FOUND)
+        repeats = repeats.unionByName(written(again, "repeats-spread"))
+    return repeats.groupBy("grp").applyInArrow(_by_document, _REPEATS)
 
 
 def _spans(places: np.ndarray, window: int) -> np.ndarray:
@@ -327,7 +328,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
                 raw = (text.as_buffer().to_pybytes() if text.is_valid else b"")
                 words = raw.split()
                 n_words.append(len(words))
-                cut = _spans(np.concatenate([np.frombuffer(p, np.uint32) for p in got]), window) if got else []
+                cut = _spans(np.frombuffer(got, np.uint32), window) if got else []
                 kept, at = [], 0
                 for a, b in cut:
                     kept += words[at:a]

@@ -9,24 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from gradewise.session import shared_path
 
 
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
-    and a lost executor's work is read again instead of computed again."""
+    and a lost executor's work is read again instead of computed again.  The
+    write's shuffle files are deleted when it ends, since no later job can use
+    them, so disk holds the shuffles of one step at a time."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return shared_path(spark, f"llm/{name}-{uuid.uuid4().hex}")
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished, unreferenced jobs now:
-    its cleaner acts when the driver's JVM collects garbage, which a driver
-    with little to do may not do for a long time."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
