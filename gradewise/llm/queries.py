@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from gradewise.llm import substring_dedup
+from gradewise.llm import decontaminate, sentencepiece_codec, simhash, substring_dedup, token_counts
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
+    "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
 }
 
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE,
+    "op8_benchmark_decontamination": decontaminate.ORACLE,
 }
