@@ -25,10 +25,10 @@ class Forward:
         #: for each piece the tokens met before it, and whether the two stay apart
         self.after: dict[str, dict[str, bool]] = {p: {} for p in every_piece if len(p) > 1}
         self.known = 0
-        self.reach: dict[str, int] = {}  # the longest piece that ends in these two characters
+        self.reach: dict[str, int] = {}  # the longest piece that ends in these three characters
         for p in every_piece:
-            if len(p) > 1:
-                self.reach[p[-2:]] = max(self.reach.get(p[-2:], 1), len(p))
+            if len(p) > 2:
+                self.reach[p[-3:]] = max(self.reach.get(p[-3:], 1), len(p))
 
     @staticmethod
     def symbols(text: str) -> list[str]:
@@ -77,7 +77,10 @@ class Forward:
                     continue  # the last character has no token without the word's end
                 least = 2
             at = i - least  # a single symbol, in the vocabulary or not
-            for j in range(max(i - reach.get(text[i - 2:i], 1), 0), at):
+            longest = reach.get(text[i - 3:i]) if i > 2 else None
+            if longest is None:
+                longest = 2  # no longer piece ends here
+            for j in range(i - longest if longest < i else 0, at):
                 token = text[j:i]
                 known = after.get(token)
                 if known is not None:

@@ -2,9 +2,10 @@
 
 A text is normalised by the model and marked (spaces become U+2581).  No piece
 spans a mark that follows another character, nor a character that occurs only
-alone in the vocabulary, so marked words are encoded apart.  A batch's distinct
-new words are sorted, which lays out their trie in depth-first order: each word
-begins with the forward states of the prefix it shares with the word before
+alone in the vocabulary, so marked words are encoded apart (and within them
+parts between whose border characters no piece reaches).  A batch's distinct
+new ones are sorted, which lays out their trie in depth-first order: each
+begins with the forward states of the prefix it shares with the one before
 it, and only what differs is computed.
 
 Unigram models: a state is the best score and where its last piece begins
@@ -13,8 +14,8 @@ sum of them is not what the library's greedy merging gives, so the state is
 the last token of the prefix's one valid encoding (``forward.Forward``); the
 traversal and sharing are the same, and ids equal the library's.
 
-Each Python worker remembers words, up to ``MEMO`` of them, and begins anew
-when full.
+Each Python worker remembers words, up to ``MEMO`` of them; when full the
+table becomes the older one and a new one is begun.
 
 Defined cases: null and empty texts have no ids and decode to the empty text;
 characters outside the vocabulary become byte pieces; the strings of control
@@ -41,7 +42,7 @@ from gradewise.llm.words import blocks
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-MEMO = 600_000
+MEMO = 500_000
 
 
 class Codec:
@@ -71,7 +72,10 @@ class Codec:
             raise ValueError("a piece spans words")
         inner = "".join(map(re.escape, joint))
         self.words = re.compile(f"{MARK}+[{inner}]*|[{inner}]+|[^{inner}{MARK}]").findall
-        self.memo: dict[str, bytes] = {}
+        self.inside = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.memo: dict[str, bytes] = {}  # words
+        self.older: dict[str, bytes] = {}  # what was there before the table was begun anew
+        self.parts: dict[str, bytes] = {}
         self.surface = [b""] * size
         for p, i in self.ids.items():
             self.surface[i] = p.replace(MARK, " ").encode()
@@ -80,7 +84,7 @@ class Codec:
 
     def _step(self, word: str, i: int, best: list[float]) -> int:
         at, top = i - 1, -math.inf
-        longest = min(self.forward.reach.get(word[i - 2:i], 1) if i > 1 else 1, i)
+        longest = min(self.forward.reach.get(word[i - 3:i], 2), i) if i > 2 else i
         low = self.low
         for n in range(1, longest + 1):
             score = self.scores.get(word[i - n:i], low if n == 1 else None)
@@ -96,41 +100,52 @@ class Codec:
             out += [i] if i is not None else [self.byte_ids[b] for b in piece.encode()]
         return np.array(out, np.int32).tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Encode distinct words in sorted order, sharing prefix states."""
+    def _cut(self, word: str) -> list[str]:
+        """Parts of a word between whose border characters no piece reaches."""
+        inside = self.inside
+        at = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in inside]
+        return [word[i:j] for i, j in zip([0, *at], [*at, len(word)])] if at else [word]
+
+    def learn(self, words: set[str]) -> None:
+        """Encode distinct words: their distinct new parts in sorted order, a
+        part beginning with the states of the prefix it shares with the last."""
         if len(self.memo) + len(words) > MEMO:
-            self.memo.clear()
+            self.memo, self.older = {}, self.memo
+        if len(self.parts) > MEMO:
+            self.parts = {}
+        known, cut = self.older, {}
+        for w in words:
+            ids = known.get(w)
+            if ids is None:
+                cut[w] = self._cut(w)
+            else:
+                self.memo[w] = ids
         before, starts, best = "", [0], [0.0]
-        for word in sorted(words):
-            same = len(commonprefix((before, word)))
-            n = len(word) + 1
+        for part in sorted({p for parts in cut.values() for p in parts if p not in self.parts}):
+            same = len(commonprefix((before, part)))
+            n = len(part) + 1
             starts = starts[:same + 1] + [0] * (n - same - 1)
-            best = best[:same + 1] + [0.0] * (n - same - 1)
             if self.unigram:
+                best = best[:same + 1] + [0.0] * (n - same - 1)
                 for i in range(same + 1, n):
-                    starts[i] = self._step(word, i, best)
+                    starts[i] = self._step(part, i, best)
             else:
-                self.forward.fill(word, starts, same)
-            self.memo[word] = self._ids(word, starts)
-            before = word
+                self.forward.fill(part, starts, same)
+            self.parts[part] = self._ids(part, starts)
+            before = part
+        for w, parts in cut.items():
+            self.memo[w] = b"".join([self.parts[p] for p in parts])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed little-endian int32."""
         split = [self.words(self.library.normalize(t)) if t else [] for t in texts]
-        memo = self.memo
-        new = {w for words in split for w in words if w not in memo}
+        every = set().union(*split)
+        new = every - self.memo.keys()
+        if len(self.memo) + len(new) > MEMO:  # the table is begun anew
+            new = every
         if new:
-            self.learn(list(new))
-            if len(memo) < len(new):  # cannot happen: a batch's words stay until the next
-                raise AssertionError
-        out = []
-        for words in split:
-            try:
-                out.append(b"".join(map(memo.__getitem__, words)))
-            except KeyError:  # the table was begun anew for this batch
-                self.learn([w for w in set(words) if w not in memo])
-                out.append(b"".join(map(memo.__getitem__, words)))
-        return out
+            self.learn(new)
+        return [b"".join(map(self.memo.__getitem__, words)) for words in split]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.surface.__getitem__, ids)).decode(errors="replace")
