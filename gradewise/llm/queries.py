@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
-from gradewise.llm import decontaminate, sentencepiece_codec, simhash, substring_dedup, token_counts
+from gradewise.llm import (
+    ann,
+    decontaminate,
+    licenses,
+    packing,
+    quality,
+    sentencepiece_codec,
+    simhash,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op4_license_scan": licenses.op4_license_scan,
+    "op5_quality": quality.op5_quality,
     "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
+    "op7_nearest_neighbours": ann.op7_nearest_neighbours,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_token_packing": packing.op10_token_packing,
 }
 
 ORACLES = {

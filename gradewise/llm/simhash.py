@@ -223,10 +223,10 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) ->
     has no other)."""
     first = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("mark"))
     best = (near_duplicates(docs, shingle, radius).groupBy("root").agg(F.min(first).alias("k"))
-            .select(F.col("k.doc_id").alias("_k_id"), F.col("k.mark").alias("_k_mark")))
-    named = docs.withColumn("_n_id", F.col("doc_id").cast("long")).withColumn("_n_mark", F.xxhash64("text"))
-    kept = named.join(best, F.col("_n_id").eqNullSafe(F.col("_k_id")) & (F.col("_n_mark") == F.col("_k_mark")), "left_semi")
-    return kept.dropDuplicates(["_n_id", "_n_mark"]).select(*docs.columns)
+            .select(F.col("k.doc_id").alias("__best_id"), F.col("k.mark").alias("__best_mark")))
+    named = docs.withColumn("__own_id", F.col("doc_id").cast("long")).withColumn("__own_mark", F.xxhash64("text"))
+    kept = named.join(best, F.col("__own_id").eqNullSafe(F.col("__best_id")) & (F.col("__own_mark") == F.col("__best_mark")), "left_semi")
+    return kept.dropDuplicates(["__own_id", "__own_mark"]).select(*docs.columns)
 
 
 def op3_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

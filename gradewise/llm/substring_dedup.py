@@ -42,8 +42,8 @@ from gradewise.llm.tables import written
 from gradewise.llm.words import blocks, words_of
 
 WINDOW = 13
-GROUP_SUFFIXES = 1_500_000  # suffixes of one tree (about 20 MB, 150 MB while it is built)
-FLUSH_SUFFIXES = 2_000_000  # suffixes a map task holds before it writes its pieces
+GROUP_SUFFIXES = 1_000_000  # suffixes of one tree (about 13 MB, 100 MB while it is built)
+FLUSH_SUFFIXES = 1_500_000  # suffixes a map task holds before it writes its pieces
 
 _PIECE = T.StructType([T.StructField("grp", T.IntegerType())] + [
     T.StructField(c, T.BinaryType()) for c in ("ids", "marks", "runs", "places", "codes", "extra")])
@@ -309,13 +309,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
     added = ("n_words", "n_removed", "kept_sha256", "spans")
     mark = F.crc32(F.col("text").cast("binary"))
     places = (repeated_places(docs, window, group_suffixes)
-              .select(F.col("doc_id").alias("_k_id"), F.col("mark").alias("_k_mark"), F.col("places").alias("_k_places")))
-    carried = [c for c in docs.columns if c not in added and not c.startswith("_k_")]
+              .select(F.col("doc_id").alias("__repeat_id"), F.col("mark").alias("__repeat_mark"), F.col("places").alias("__repeat_places")))
+    carried = [c for c in docs.columns if c not in added]
     if not with_text:
         carried = [c for c in carried if c == "doc_id"]
     left = docs.select(*dict.fromkeys([*carried, "doc_id", "text"]))
-    joined = (left.join(places, (left["doc_id"].cast("long") == F.col("_k_id")) & (mark == F.col("_k_mark")), "left")
-              .drop("_k_id", "_k_mark"))
+    joined = (left.join(places, (left["doc_id"].cast("long") == F.col("__repeat_id")) & (mark == F.col("__repeat_mark")), "left")
+              .drop("__repeat_id", "__repeat_mark"))
     schema = T.StructType([left.schema[c] for c in carried] + [
         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("kept_sha256", T.StringType()),
@@ -324,7 +324,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_words, removed, digest, spans = [], [], [], [], []
-            for text, got in zip(batch.column("text"), batch.column("_k_places").to_pylist()):
+            for text, got in zip(batch.column("text"), batch.column("__repeat_places").to_pylist()):
                 raw = (text.as_buffer().to_pybytes() if text.is_valid else b"")
                 words = raw.split()
                 n_words.append(len(words))
