@@ -111,9 +111,7 @@ def align(template: list[bytes], text: list[bytes], shift: int, band: int = BAND
         for b in range(width):
             j = i + shift + b - band  # text word in this cell
             if not 0 <= j < len(text):
-                # outside the text: the template's word has no partner
-                up = score[b + 1] - gap if b + 1 < width else -1e9
-                new[b], step[b] = up, 2
+                new[b], step[b] = score[b] - gap, 4  # outside the text: no partner
                 continue
             same = text[j] == word
             best, kind = score[b] + (1.0 if same else -gap), 1 if same else 4
@@ -184,12 +182,13 @@ class TemplateIndex:
                 n = len(whole)
                 shifts.setdefault(template, []).extend(i for i in range(len(text) - n + 1) if text[i:i + n] == whole)
             for template, found in sorted(shifts.items()):
-                words, last_end = self.words[template], -1
-                # diagonals less than a band apart are one candidate
-                found = sorted(set(found))
-                groups = np.split(np.array(found), np.flatnonzero(np.diff(found) > band) + 1)
-                for group in groups:
-                    matched, a, z = align(words, text, int(np.median(group)), band + int(group[-1] - group[0]))
+                words, last_end, tried = self.words[template], -1, None
+                near = min(band, len(words) // 2)  # diagonals this close are one candidate
+                for shift in sorted(set(found)):
+                    if tried is not None and shift - tried <= near:
+                        continue
+                    tried = shift
+                    matched, a, z = align(words, text, shift, band)
                     if matched and matched >= coverage * len(words) - 1e-9 and a >= last_end:
                         last_end = z
                         yield r, template, matched, a, z, int(w.start[a]), int(w.end[z - 1])
