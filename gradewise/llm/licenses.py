@@ -183,12 +183,12 @@ class TemplateIndex:
                 shifts.setdefault(template, []).extend(i for i in range(len(text) - n + 1) if text[i:i + n] == whole)
             for template, found in sorted(shifts.items()):
                 words, last_end, tried = self.words[template], -1, None
-                near = min(band, len(words) // 2)  # diagonals this close are one candidate
+                near = min(band, max(len(words) // 2, 1))  # diagonals this close are one candidate
                 for shift in sorted(set(found)):
                     if tried is not None and shift - tried <= near:
                         continue
                     tried = shift
-                    matched, a, z = align(words, text, shift, band)
+                    matched, a, z = align(words, text, shift, near)
                     if matched and matched >= coverage * len(words) - 1e-9 and a >= last_end:
                         last_end = z
                         yield r, template, matched, a, z, int(w.start[a]), int(w.end[z - 1])

@@ -93,6 +93,17 @@ def tokens(column: pa.Array) -> Tokens:
     return Tokens(codes, row, w.start - begin, w.end - begin, np.append(first, n))
 
 
+def joined_tokens(batch: pa.RecordBatch) -> Tokens:
+    """The words of a batch, block after block, as one."""
+    parts, row, word = [], 0, 0
+    for part in blocks(batch):
+        t = tokens(part.column("text"))
+        parts.append((t.codes, t.row + row, t.start, t.end, t.first[:-1] + word))
+        row, word = row + part.num_rows, word + len(t.row)
+    codes, rows, start, end, first = (np.concatenate(x) for x in zip(*parts))
+    return Tokens(codes, rows, start, end, np.append(first, word))
+
+
 @dataclass
 class Field:
     """The fitted field: word weights, begin and transition scores, calibration."""
@@ -250,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | Non
     toxic = np.array(list(texts.values()), bool)
     if not toxic.any() or toxic.all():
         return None
-    tok = tokens(pa.array(list(texts)))
+    tok = joined_tokens(pa.record_batch({"text": pa.array(list(texts), pa.string())}))
     cues = pick_cues(tok.codes, tok.row, toxic)
     label = np.isin(tok.codes, cues).any(axis=1) & toxic[tok.row]
     return fit_field(tok, label, toxic)
