@@ -42,7 +42,7 @@ from gradewise.llm.words import blocks
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-MEMO = 500_000
+MEMO = 300_000
 
 
 class Codec:
@@ -72,6 +72,7 @@ class Codec:
             raise ValueError("a piece spans words")
         inner = "".join(map(re.escape, joint))
         self.words = re.compile(f"{MARK}+[{inner}]*|[{inner}]+|[^{inner}{MARK}]").findall
+        self.dtype = np.uint16 if size <= 1 << 16 else np.int32  # of remembered and packed ids
         self.inside = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.memo: dict[str, bytes] = {}  # words
         self.older: dict[str, bytes] = {}  # what was there before the table was begun anew
@@ -98,7 +99,7 @@ class Codec:
         for piece in self.forward.tokens(word, starts):
             i = self.ids.get(piece)
             out += [i] if i is not None else [self.byte_ids[b] for b in piece.encode()]
-        return np.array(out, np.int32).tobytes()
+        return np.array(out, self.dtype).tobytes()
 
     def _cut(self, word: str) -> list[str]:
         """Parts of a word between whose border characters no piece reaches."""
@@ -137,7 +138,7 @@ class Codec:
             self.memo[w] = b"".join([self.parts[p] for p in parts])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as packed little-endian int32."""
+        """Ids of each text as packed little-endian numbers (``self.dtype``)."""
         split = [self.words(self.library.normalize(t)) if t else [] for t in texts]
         every = set().union(*split)
         new = every - self.memo.keys()
@@ -178,9 +179,10 @@ def encode(docs: DataFrame, model: str = MODEL, column: str = "text") -> DataFra
             for part in blocks(batch, column):
                 texts = [t or "" for t in part.column(column).to_pylist()]
                 packed = own.encode_batch(texts)
-                values = np.frombuffer(b"".join(packed), np.int32)
-                offsets = np.cumsum([0, *(len(p) // 4 for p in packed)])
-                same = [own.decode(np.frombuffer(p, np.int32).tolist()) == t for p, t in zip(packed, texts)]
+                kind = np.dtype(own.dtype)
+                values = np.frombuffer(b"".join(packed), kind).astype(np.int32)
+                offsets = np.cumsum([0, *(len(p) // kind.itemsize for p in packed)])
+                same = [own.decode(np.frombuffer(p, kind).tolist()) == t for p, t in zip(packed, texts)]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in names), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)),
                      pa.array(np.diff(offsets), pa.int32()), pa.array(same)], schema.names)

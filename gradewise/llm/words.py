@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 # Separators: space and the bytes 0x09-0x0D.
 SPACES = np.zeros(256, dtype=bool)
@@ -37,15 +37,15 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
+        size = 1 << max(n - 1, 1).bit_length()
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             steps = np.full(size, b, dtype=np.uint64)
             steps[0] = 1
             out.append(np.cumprod(steps, dtype=np.uint64))
-        have = _POWERS[base] = (out[0], out[1])
-        if size > BLOCK_BYTES + 1:  # a very long text: do not keep its tables
-            del _POWERS[base]
+        have = (out[0], out[1])
+        if size <= 2 * BLOCK_BYTES:  # a very long text's tables are not kept
+            _POWERS[base] = have
     return have[0][:n], have[1][:n]
 
 

@@ -80,7 +80,7 @@ def test_words_survive_a_full_table(monkeypatch):
     rng = random.Random(1)
     texts = [" ".join("".join(rng.choice("abcdeé, .") for _ in range(6)) for _ in range(30)) for _ in range(20)]
     for at in range(0, 20, 4):
-        got = [np.frombuffer(p, np.int32).tolist() for p in own.encode_batch(texts[at:at + 4])]
+        got = [np.frombuffer(p, own.dtype).tolist() for p in own.encode_batch(texts[at:at + 4])]
         assert got == own.library.encode(texts[at:at + 4])
 
 
@@ -95,7 +95,7 @@ def test_unigram_states_are_viterbi():
         best = [0.0] + [-1e9] * len(w)
         for i in range(1, len(w) + 1):
             best[i] = max(best[j] + own.scores.get(w[j:i], own.low if i - j == 1 else -1e9) for j in range(i))
-        pieces = [own.library.id_to_piece(int(i)) for i in np.frombuffer(own.memo[w], np.int32)]
+        pieces = [own.library.id_to_piece(int(i)) for i in np.frombuffer(own.memo[w], own.dtype)]
         assert "".join(pieces) == w
         assert sum(own.scores[p] for p in pieces) == pytest.approx(best[-1])
 
