@@ -24,7 +24,6 @@ def is_train() -> Column:
     return F.col("split") == "train"
 
 
-MAX_ONEHOT_LEVELS = 1000
 HASH_BUCKETS = 4
 
 
@@ -34,10 +33,12 @@ class CategoryStats:
     def __init__(self, df: DataFrame, roles: Roles, cols: list[str] | None = None):
         self.roles = roles
         self.cols = list(cols or roles.categorical)
+        # keys are integers, or texts when any column holds texts
+        self.text = any(df.schema[c].dataType.simpleString() in ("string", "boolean") for c in self.cols)
         train = df.filter(is_train()).select(
             F.col(roles.label).cast("long").alias("_y"),
             F.col("fold"),
-            *[F.col(c).cast("long").alias(c) for c in self.cols],
+            *[F.col(c).cast("string" if self.text else "long").alias(c) for c in self.cols],
         )
         long = train.unpivot(["_y", "fold"], self.cols, "feature", "value")
         self.table = (
@@ -58,14 +59,14 @@ class CategoryStats:
             F.sum("fold_sum").alias("tot_sum"), F.sum("fold_n").alias("tot_n")
         )
 
-    def levels(self) -> dict[str, list[int]]:
-        if self.n_rows > BROADCAST_MAX_ROWS:
-            raise ValueError("too many category levels to enumerate")
+    def levels(self) -> dict[str, list]:
+        """Every column's levels in order.  They name one-hot columns, so the
+        driver has to know them; :func:`onehot_vector` does without columns."""
         rows = self.table.select("feature", "value").distinct().collect()
-        out: dict[str, list[int]] = {c: [] for c in self.cols}
+        out: dict[str, list] = {c: [] for c in self.cols}
         for r in rows:
             if r["value"] is not None:
-                out[r["feature"]].append(int(r["value"]))
+                out[r["feature"]].append(r["value"] if self.text else int(r["value"]))
         return {c: sorted(v) for c, v in out.items()}
 
 
@@ -73,12 +74,16 @@ class CategoryStats:
 # codegen'd projection, no join); larger ones by a broadcast hash join when
 # under BROADCAST_MAX_ROWS, else by a shuffle join.
 MAP_LITERAL_MAX_ROWS = 20_000
-FOLD_SLOTS = 8  # composite key value * 8 + (fold + 1), fold in -1..6
 
 
-def _key(value: Column, fold: Column | None) -> Column:
+def _key(value: Column, fold: Column | None, slots: int, text: bool) -> Column:
+    """One key for a value and, where the lookup has one, a fold of -1 or
+    more: ``slots`` is above every fold + 1, so no two pairs share a key."""
+    if text:
+        v = value.cast("string")
+        return v if fold is None else F.concat(fold.cast("string"), F.lit("/"), v)
     v = value.cast("long")
-    return v if fold is None else v * FOLD_SLOTS + (fold + 1)
+    return v if fold is None else v * slots + (fold + 1)
 
 
 def apply_lookup(df: DataFrame, lookup: DataFrame, cols: list[str], enc_cols: list[str],
@@ -88,7 +93,9 @@ def apply_lookup(df: DataFrame, lookup: DataFrame, cols: list[str], enc_cols: li
     row for every categorical column in ``cols``; output columns are named
     ``out_name(col, enc_col)``.  Missing keys give NULL."""
     lookup = lookup.persist()
-    n = lookup.count()
+    text = lookup.schema["value"].dataType.simpleString() == "string"
+    sizes = lookup.agg(F.count(F.lit(1)).alias("n"), (F.max("fold") if fold_key is not None else F.lit(0)).alias("f")).first()
+    n, slots = sizes["n"], (sizes["f"] or 0) + 2
     if n <= map_max_rows:
         per: dict[str, list] = {c: [] for c in cols}
         for r in lookup.collect():
@@ -96,11 +103,14 @@ def apply_lookup(df: DataFrame, lookup: DataFrame, cols: list[str], enc_cols: li
                 per[r["feature"]].append(r)
         exprs = {}
         for c in cols:
-            key = _key(F.col(c), fold_key)
+            key = _key(F.col(c), fold_key, slots, text)
             for e in enc_cols:
                 kv = []
                 for r in per[c]:
-                    k = int(r["value"]) * FOLD_SLOTS + int(r["fold"]) + 1 if fold_key is not None else int(r["value"])
+                    if text:
+                        k = r["value"] if fold_key is None else f"{r['fold']}/{r['value']}"
+                    else:
+                        k = int(r["value"]) if fold_key is None else int(r["value"]) * slots + int(r["fold"]) + 1
                     kv += [F.lit(k), F.lit(r[e])]
                 exprs[out_name(c, e)] = F.try_element_at(F.create_map(*kv), key) if kv else F.lit(None)
         lookup.unpersist()
@@ -108,12 +118,12 @@ def apply_lookup(df: DataFrame, lookup: DataFrame, cols: list[str], enc_cols: li
     out = df
     for c in cols:
         sub = lookup.filter(F.col("feature") == c).select(
-            _key(F.col("value"), F.col("fold") if fold_key is not None else None).alias("_lk"),
+            _key(F.col("value"), F.col("fold") if fold_key is not None else None, slots, text).alias("_lk"),
             *[F.col(e).alias(out_name(c, e)) for e in enc_cols],
         )
         if n <= BROADCAST_MAX_ROWS:
             sub = F.broadcast(sub)
-        out = out.join(sub, _key(F.col(c), fold_key) == F.col("_lk"), "left").drop("_lk")
+        out = out.join(sub, _key(F.col(c), fold_key, slots, text) == F.col("_lk"), "left").drop("_lk")
     return out
 
 
@@ -178,13 +188,46 @@ def onehot(df: DataFrame, roles: Roles, stats: CategoryStats | None = None) -> t
     levels = stats.levels()
     cols = {}
     for c in stats.cols:
-        if len(levels[c]) > MAX_ONEHOT_LEVELS:
-            raise ValueError(f"{c}: {len(levels[c])} levels; use hashing or target encoding")
         for lv in levels[c]:
             cols[f"{c}_{lv}"] = F.when(F.col(c) == lv, 1).otherwise(0)
     return df.withColumns(cols), list(cols)
 
 
+def onehot_vector(df: DataFrame, roles: Roles, out: str = "onehot", scale: bool = False,
+                  cols: list[str] | None = None) -> DataFrame:
+    """The indicators of all columns as one sparse vector, for any number of
+    levels and for texts or integers.  Levels are fitted on train rows; an unseen
+    level has no indicator, null is a level of its own.  ``scale`` divides each indicator by its train
+    deviation sqrt(p (1 - p)), taken from the level counts alone; the mean is
+    not subtracted, since that would make the vector dense."""
+    from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StringIndexer, VectorAssembler
+    from pyspark.ml.linalg import Vectors
+
+    cols = list(cols or roles.categorical)
+    text = df.withColumns({f"_t_{c}": F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols})
+    train = text.filter(is_train())
+    index = StringIndexer(inputCols=[f"_t_{c}" for c in cols], outputCols=[f"_i_{c}" for c in cols],
+                          handleInvalid="keep", stringOrderType="alphabetAsc").fit(train)
+    # the indexer's last index stands for unseen levels: dropped, it has no indicator
+    hot = OneHotEncoder(inputCols=[f"_i_{c}" for c in cols], outputCols=[f"_h_{c}" for c in cols], dropLast=True)
+    indexed = index.transform(text)
+    wide = hot.fit(indexed).transform(indexed)
+    vec = VectorAssembler(inputCols=[f"_h_{c}" for c in cols], outputCol="_v").transform(wide)
+    if scale:
+        counts = (train.unpivot([], [f"_t_{c}" for c in cols], "feature", "value")
+                  .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a level, as the index
+        n_of = {(r["feature"], r["value"]): r["n"] for r in counts}
+        n = train.count()
+        factors = []
+        for c, labels in zip(cols, index.labelsArray):
+            ps = [n_of.get((f"_t_{c}", lv), 0) / max(n, 1) for lv in labels]
+            factors += [1.0 / math.sqrt(p * (1 - p)) if 0 < p < 1 else 0.0 for p in ps]
+        vec = ElementwiseProduct(inputCol="_v", outputCol=out, scalingVec=Vectors.dense(factors)).transform(vec)
+    else:
+        vec = vec.withColumnRenamed("_v", out)
+    return vec.drop(*[f"{p}{c}" for c in cols for p in ("_t_", "_i_", "_h_")], "_v")
+
+
 def binary_bits(max_value: int) -> int:
     return max(1, math.ceil(math.log2(max_value + 1 if max_value > 0 else 2)))
 

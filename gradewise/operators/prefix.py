@@ -9,10 +9,12 @@ is inside (key, bucket), which spreads over all shuffle partitions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradewise.session import counted_broadcast
+from gradewise.session import counted_broadcast, ensure_checkpoint_dir
 
 # 16**4 = 65,536 buckets per key: with a third of 10^12 rows in one class a
 # (class, bucket) window holds ~5M rows, a comfortable single sort.
@@ -51,18 +53,8 @@ def bucketed_rank(
     ).drop("_bkt", "_off")
 
 
-def value_bins(value: Column, lo: Column, hi: Column, n_bins) -> Column:
-    """Equal-width bin of ``value`` in [lo, hi]; monotone in value."""
-    nb = n_bins if isinstance(n_bins, Column) else F.lit(n_bins)
-    width = hi - lo
-    raw = F.floor((value - lo) / width * nb)
-    return F.when(width <= 0, F.lit(0)).otherwise(F.least(raw, nb - 1)).cast("int")
-
-
-# A window group of the running sum holds at most about this many rows:
-# bins scale with the row count, and heavy bins are split once more.
+# A window group of the running sum holds about this many rows.
 BIN_TARGET_ROWS = 50_000
-MAX_BINS = 1 << 20
 
 
 def running_sum_by_bins(
@@ -75,38 +67,29 @@ def running_sum_by_bins(
     """Inclusive running sums of ``value_cols`` within ``part_cols`` ordered by
     ``order_col`` (unique within a partition, e.g. after a group-by on it).
 
-    Level 1: equal-width value bins per partition (count scaled to the input
-    size).  Level 2: any bin over ``BIN_TARGET_ROWS`` rows is split into
-    equal-width sub-bins of its own [min, max], so a dense range of distinct
-    values never lands in one window task.  Per-(bin, sub-bin) totals form a
-    small table whose running offsets are joined back; the row window runs
-    only inside (partition, bin, sub-bin)."""
+    Rows are dealt to ``n_bins`` ranges of (``part_cols``, ``order_col``) whose
+    borders Spark samples, so ranges hold about equally many rows however the
+    values are spaced.  The ranges are checkpointed, since sampled borders may
+    differ when they are computed again.  Per-range totals form a small table
+    whose running offsets are joined back; the row window runs only inside
+    (partition, range)."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     if n_bins is None:
-        n_bins = int(min(MAX_BINS, max(4096, df.count() // BIN_TARGET_ROWS)))
-    stats = df.groupBy(*part_cols).agg(F.min(order_col).alias("_lo"), F.max(order_col).alias("_hi"))
-    d = df.join(counted_broadcast(stats), part_cols).withColumn(
-        "_bkt", value_bins(F.col(order_col), F.col("_lo"), F.col("_hi"), n_bins)
-    ).drop("_lo", "_hi")
-    l1 = d.groupBy(*part_cols, "_bkt").agg(
-        F.count(F.lit(1)).alias("_c"), F.min(order_col).alias("_blo"), F.max(order_col).alias("_bhi"))
-    heavy = l1.filter(F.col("_c") > BIN_TARGET_ROWS).select(
-        *part_cols, "_bkt", "_blo", "_bhi", F.ceil(F.col("_c") / BIN_TARGET_ROWS).cast("int").alias("_nsub"))
-    d = d.join(counted_broadcast(heavy), [*part_cols, "_bkt"], "left").withColumn(
-        "_sub", F.coalesce(value_bins(F.col(order_col), F.col("_blo"), F.col("_bhi"), F.col("_nsub")), F.lit(0))
-    ).drop("_blo", "_bhi", "_nsub")
-    keys = [*part_cols, "_bkt", "_sub"]
+        n_bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / BIN_TARGET_ROWS))
+    d = df.repartitionByRange(n_bins, *part_cols, order_col).withColumn("_bkt", F.spark_partition_id()).checkpoint()
+    keys = [*part_cols, "_bkt"]
     totals = d.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
-    before = Window.partitionBy(*part_cols).orderBy("_bkt", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*part_cols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *keys,
         *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in value_cols],
     )
-    joined = d.join(counted_broadcast(offsets), keys)
     inner = (
         Window.partitionBy(*keys).orderBy(order_col)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return joined.select(
+    return d.join(offsets, keys).select(
         *df.columns,
         *[(F.col(f"_o_{c}") + F.sum(c).over(inner)).alias(f"cum_{c}") for c in value_cols],
     )

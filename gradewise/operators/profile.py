@@ -10,13 +10,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewise.operators.quantiles import exact_quantiles
 from gradewise.session import bounded_broadcast, counted_broadcast
 
 
+def present(col: str) -> Column:
+    """A column as double, with NaN as null: both are missing values."""
+    v = F.col(col).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
 def schema_table(df: DataFrame) -> DataFrame:
     """Column, type, non-null count and approximate distinct count (HLL++
     sketches merge map-side) — one pass over the table."""
@@ -48,17 +54,20 @@ def class_distribution(df: DataFrame, label: str) -> DataFrame:
     return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
 
 
+CORR_PASS = 12  # pairwise correlations in one aggregation, within the codegen field limit
+
+
 def minmax(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
-    row = df.agg(*[x for c in cols for x in (F.min(F.col(c).cast("double")).alias(f"lo_{c}"),
-                                              F.max(F.col(c).cast("double")).alias(f"hi_{c}"))]).first()
+    row = df.agg(*[x for c in cols for x in (F.min(present(c)).alias(f"lo_{c}"), F.max(present(c)).alias(f"hi_{c}"))]).first()
     return {c: (row[f"lo_{c}"], row[f"hi_{c}"]) for c in cols}
 
 
 def bin_expr(col: str, lo: float, hi: float, n_bins: int):
-    v = F.col(col).cast("double")
+    """The bin of a value; null where the value is missing."""
+    v = present(col)
     if hi is None or lo is None or hi <= lo:
-        return F.lit(0)
-    return F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(n_bins)), F.lit(n_bins - 1)).cast("int")
+        return F.when(v.isNotNull(), F.lit(0))
+    return F.when(v.isNotNull(), F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(n_bins)), F.lit(n_bins - 1)).cast("int"))
 
 
 def histogram(df: DataFrame, cols: list[str], n_bins: int = 20, by: list[str] | None = None,
@@ -71,7 +80,7 @@ def histogram(df: DataFrame, cols: list[str], n_bins: int = 20, by: list[str] |
     mm = ranges or minmax(df, cols)
     nb = {c: (bins or {}).get(c, n_bins) for c in cols}
     binned = df.select(*by, *[bin_expr(c, *mm[c], nb[c]).alias(c) for c in cols])
-    long = binned.unpivot(by, cols, "feature", "bin")
+    long = binned.unpivot(by, cols, "feature", "bin").filter(F.col("bin").isNotNull())
     counts = long.groupBy("feature", *by, "bin").agg(F.count(F.lit(1)).alias("n"))
     lo = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(mm[c][0]))])
     hi = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(mm[c][1]))])
@@ -110,23 +119,26 @@ def auto_bins(df: DataFrame, cols: list[str], ranges: dict[str, tuple[float, flo
 
 def kde(df: DataFrame, cols: list[str], grid: int = 200, fine_bins: int = 512, cut: float = 3.0) -> DataFrame:
     """Gaussian KDE on a grid from a fine histogram: O(bins x grid) per
-    feature, independent of the row count.  Scott bandwidth
-    h = std * n^(-1/5); grid over [min - cut*h, max + cut*h].
+    feature.  Scott bandwidth h = std * n^(-1/5); grid over
+    [min - cut*h, max + cut*h].  The histogram has at least ``fine_bins`` bins
+    and at least eight in a bandwidth, so it stays finer than the kernel as
+    the bandwidth shrinks.  Missing values are left out.
 
     feature, point, x, density."""
-    long = df.unpivot([], cols, "feature", "v").select("feature", F.col("v").cast("double").alias("v"))
+    long = df.select(*[present(c).alias(c) for c in cols]).unpivot([], cols, "feature", "v").filter(F.col("v").isNotNull())
     st = long.groupBy("feature").agg(
         F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.stddev_samp("v").alias("sd")
     )
     st = st.withColumns({
         "h": F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)),
-        "w": (F.col("hi") - F.col("lo")) / F.lit(fine_bins),
     })
+    st = st.withColumn("nb", F.when(F.col("h") > 0, F.greatest(F.lit(fine_bins).cast("long"), F.ceil(8 * (F.col("hi") - F.col("lo")) / F.col("h"))))
+                       .otherwise(F.lit(fine_bins).cast("long"))).withColumn("w", (F.col("hi") - F.col("lo")) / F.col("nb"))
     b = F.when(F.col("hi") > F.col("lo"),
-               F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * fine_bins), F.lit(fine_bins - 1))
-               ).otherwise(F.lit(0)).cast("int")
+               F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("nb")), F.col("nb") - 1)
+               ).otherwise(F.lit(0)).cast("long")
     hist = (
-        long.join(bounded_broadcast(st.select("feature", "lo", "hi"), len(cols)), "feature")
+        long.join(bounded_broadcast(st.select("feature", "lo", "hi", "nb"), len(cols)), "feature")
         .groupBy("feature", b.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
         .groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("bin", "c"))).alias("hist"))
     )
@@ -147,7 +159,8 @@ def kde(df: DataFrame, cols: list[str], grid: int = 200, fine_bins: int = 512, c
 def box_stats(df: DataFrame, cols: list[str], by: str) -> DataFrame:
     """Per (feature, class): q1, median, q3, iqr, whiskers snapped to the
     data (1.5 IQR rule) and the outlier count."""
-    long = df.unpivot([by], cols, "feature", "value").select(by, "feature", F.col("value").cast("double").alias("value"))
+    long = (df.select(by, *[present(c).alias(c) for c in cols]).unpivot([by], cols, "feature", "value")
+            .filter(F.col("value").isNotNull()))
     qs = exact_quantiles(long, ["feature", by], "value", [0.25, 0.5, 0.75])
     q = qs.groupBy("feature", by).agg(
         F.max(F.when(F.col("q") == 0.25, F.col("value"))).alias("q1"),
@@ -170,14 +183,27 @@ def correlation(df: DataFrame, cols: list[str]) -> DataFrame:
 
     Spark ML ``Correlation.corr``: column means, then one tree-aggregated
     pass of mean-centred outer products (BLAS ``spr``, k(k+1)/2 doubles per
-    partition) — numerically stable and O(k^2) per row.  Rows with a null in
-    any of the columns are skipped.  (A wide aggregate of k(k-1)/2 ``corr``
-    buffers exceeds the codegen field limit and runs interpreted.)"""
+    partition) — numerically stable and O(k^2) per row.  (A wide aggregate of
+    k(k-1)/2 ``corr`` buffers exceeds the codegen field limit and runs
+    interpreted.)  A pair uses the rows where both of its columns are present:
+    pairs with a column that has missing values are computed apart, a few
+    ``corr`` aggregates in a pass."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.stat import Correlation
 
-    vec = VectorAssembler(inputCols=cols, outputCol="_v", handleInvalid="skip").transform(
-        df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
-    m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
-    rows = [(a, b, float(m[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols) if j > i]
+    d = df.select(*[present(c).alias(c) for c in cols])
+    missing = d.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    full = [c for c in cols if not missing[c]]
+    value: dict[tuple[str, str], float | None] = {}
+    if len(full) > 1 and missing["_n"]:
+        vec = VectorAssembler(inputCols=full, outputCol="_v").transform(d.select(*full))
+        m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
+        value.update({(a, b): float(m[i, j]) for i, a in enumerate(full) for j, b in enumerate(full)})
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    rest = [p for p in pairs if p not in value]
+    for at in range(0, len(rest), CORR_PASS):
+        part = rest[at:at + CORR_PASS]
+        got = d.agg(*[F.corr(a, b).alias(f"c{k}") for k, (a, b) in enumerate(part)]).first()
+        value.update({p: got[f"c{k}"] for k, p in enumerate(part)})
+    rows = [(a, b, value[a, b]) for a, b in pairs]
     return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")

@@ -2,15 +2,19 @@
 
 ``percentile`` buffers every value of a group in one task, and a class may
 hold a third of all rows.  Here each round bins the candidate values of
-every (group, target rank) into equal-width bins, counts them (map-side
-partial aggregation), and narrows each target to the one bin that holds
-its rank.  A bin that holds a single distinct value resolves at once; a
+every (group, target rank), counts them (map-side partial aggregation), and
+narrows each target to the one bin that holds its rank.  Bins are of equal
+width in the first round and in every other one after it; in between they
+are cut at approximate quantiles (each a bin of its own, so ties do not hold
+the search up), so rows left shrink whatever the spacing of the values, and
+rounds go on until every target is found.  A bin that holds a single distinct value resolves at once; a
 bin with at most ``SORT_MAX`` rows is ranked with a window inside the bin.
 Only per-bin counts and the few target intervals reach the driver.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,15 +22,16 @@ from pyspark.sql import functions as F
 
 from gradewise.session import bounded_broadcast
 
-N_BINS = 4096
+N_BINS = 1024
+N_CUTS = 64
 SORT_MAX = 200_000
-MAX_ROUNDS = 12
 
 
 def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs: list[float]) -> DataFrame:
     """Returns *group_cols, q (double), value (double), n (long)."""
     spark = SparkSession.getActiveSession() or df.sparkSession
-    d = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    d = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).filter(
+        F.col("_v").isNotNull() & ~F.isnan("_v"))
     stats = d.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()
 
     # Each target: a rank r (0-based) in group g.  Interpolation needs ranks
@@ -42,7 +47,7 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs:
             wanted.append((gkey, q, n, r_lo, r_hi, pos - r_lo))
             for r in (r_lo, r_hi):
                 targets.setdefault((gkey, r), {"lo": s["lo"], "hi": s["hi"], "base": 0, "value": None})
-    for _ in range(MAX_ROUNDS):
+    for turn in itertools.count():
         open_t = [(k, t) for k, t in targets.items() if t["value"] is None]
         if not open_t:
             break
@@ -59,8 +64,14 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs:
         iv_rows = [(*g, i, float(lo), float(hi)) for i, (g, lo, hi, _b) in enumerate(intervals)]
         iv = spark.createDataFrame(iv_rows, schema=_iv_schema(df, group_cols))
         j = d.join(bounded_broadcast(iv, len(iv_rows)), group_cols).filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-        width = F.col("_hi") - F.col("_lo")
-        binned = j.withColumn("_b", F.least(F.floor((F.col("_v") - F.col("_lo")) / width * N_BINS), F.lit(N_BINS - 1)).cast("int"))
+        width = F.col("_hi") / 2 - F.col("_lo") / 2  # halves: the whole range may not fit a double
+        if turn % 2 == 0:
+            binned = j.withColumn("_b", F.least(F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / width * N_BINS), F.lit(N_BINS - 1)).cast("int"))
+        else:
+            cuts = j.groupBy("_iv").agg(F.percentile_approx("_v", [i / N_CUTS for i in range(N_CUTS + 1)], 10_000).alias("_s"))
+            below = F.size(F.filter("_s", lambda x: x < F.col("_v")))
+            binned = (j.join(bounded_broadcast(cuts.withColumn("_s", F.array_distinct("_s")), len(iv_rows)), "_iv")
+                      .withColumn("_b", 2 * below + F.array_contains("_s", F.col("_v")).cast("int")))
         bins = binned.groupBy("_iv", "_b").agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("mn"), F.max("_v").alias("mx")).collect()
         by_iv: dict[int, list] = {}
         for b in bins:

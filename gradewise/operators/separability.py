@@ -39,12 +39,11 @@ def ks_two_sample(df: DataFrame, features: list[str], label: str, pairs: list[tu
     classes = sorted({c for p in pairs for c in p})
     long = df.filter(F.col(label).isin(classes)).select(
         F.col(label).alias("_y"), *[F.col(f).cast("double").alias(f) for f in features]
-    ).unpivot(["_y"], features, "feature", "value")
-    # distinct (feature, value) counts: read by three actions below, so kept
+    ).unpivot(["_y"], features, "feature", "value").filter(F.col("value").isNotNull() & ~F.isnan("value"))
     counts = long.groupBy("feature", "value").agg(
-        *[F.count_if(F.col("_y") == c).alias(f"c{c}") for c in classes]).persist()
+        *[F.count_if(F.col("_y") == c).alias(f"c{c}") for c in classes])
     cum = running_sum_by_bins(counts, ["feature"], "value", [f"c{c}" for c in classes])
-    tots = counts.groupBy("feature").agg(*[F.sum(f"c{c}").alias(f"n{c}") for c in classes])
+    tots = cum.groupBy("feature").agg(*[F.sum(f"c{c}").alias(f"n{c}") for c in classes])
     j = cum.join(bounded_broadcast(tots, len(features)), "feature")  # one row per feature
     aggs = []
     for a, b in pairs:
@@ -66,9 +65,9 @@ def auc_binary(df: DataFrame, score: str, positive: Column, negative: Column, na
     the bucketed running sum.  Computed as an integer ratio
     sum(pos * (2 * neg_below + neg)) / (2 * P * N)."""
     g = df.select(F.col(score).cast("double").alias("s"), positive.alias("_p"), negative.alias("_n")).filter(
-        F.col("_p") | F.col("_n")
+        (F.col("_p") | F.col("_n")) & F.col("s").isNotNull() & ~F.isnan("s")
     ).groupBy("s").agg(F.count_if("_p").alias("pos"), F.count_if("_n").alias("neg"))
-    g = g.withColumn("_k", F.lit(name)).persist()
+    g = g.withColumn("_k", F.lit(name))
     cum = running_sum_by_bins(g, ["_k"], "s", ["neg"])
     num = (F.col("pos").cast("decimal(38,0)") * (2 * (F.col("cum_neg") - F.col("neg")) + F.col("neg")).cast("decimal(38,0)"))
     agg = cum.groupBy("_k").agg(

@@ -216,11 +216,13 @@ FROM bn GROUP BY feature, GradeClass, bin, lo, hi, nbins""")
 def _kde() -> str:
     return with_s(f""", lg AS ({_long_cont()}),
 st AS (SELECT feature, count(v) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) AS sd FROM lg GROUP BY feature),
-st2 AS (SELECT *, sd * pow(CAST(n AS DOUBLE), -0.2) AS h, (hi - lo) / 512 AS w FROM st),
-bn AS (SELECT lg.feature, CAST(CASE WHEN hi > lo THEN least(floor((v - lo) / (hi - lo) * 512), 511) ELSE 0 END AS INTEGER) AS bin FROM lg JOIN st USING (feature)),
+st2 AS (SELECT *, sd * pow(CAST(n AS DOUBLE), -0.2) AS h FROM st),
+st3 AS (SELECT *, CASE WHEN h > 0 THEN greatest(512, CAST(ceil(8 * (hi - lo) / h) AS BIGINT)) ELSE 512 END AS nb FROM st2),
+st4 AS (SELECT *, (hi - lo) / nb AS w FROM st3),
+bn AS (SELECT lg.feature, CAST(CASE WHEN hi > lo THEN least(floor((v - lo) / (hi - lo) * nb), nb - 1) ELSE 0 END AS BIGINT) AS bin FROM lg JOIN st3 USING (feature)),
 hc AS (SELECT feature, bin, count(*) AS c FROM bn GROUP BY feature, bin),
 hl AS (SELECT feature, list({{'bin': bin, 'c': c}} ORDER BY bin) AS hist FROM hc GROUP BY feature),
-pts AS (SELECT st2.*, p AS point, lo - 3.0 * h + p * ((hi - lo + 2 * 3.0 * h) / 199) AS x FROM st2, range(0, 200) t(p))
+pts AS (SELECT st4.*, p AS point, lo - 3.0 * h + p * ((hi - lo + 2 * 3.0 * h) / 199) AS x FROM st4, range(0, 200) t(p))
 SELECT pts.feature, CAST(point AS INTEGER) AS point, round(x, 6) AS x,
   round(list_reduce(list_prepend(0.0, list_transform(hist, lambda e: e.c * exp(-0.5 * pow((x - (lo + (e.bin + 0.5) * w)) / h, 2)))), lambda a, b: a + b)
         / (n * h * {__import__('math').sqrt(2 * __import__('math').pi)!r}), 6) AS density

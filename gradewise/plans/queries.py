@@ -14,18 +14,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradewise.functions import repair as _repair
 from gradewise.functions.features import BASE_COLUMNS, FEATURE_SETS, derived
 from gradewise.functions.repair import is_rejected, repair_decimal
 from gradewise.operators import encode as enc
 from gradewise.operators import metrics as met
+from gradewise.operators import prefix as _prefix
 from gradewise.operators import profile as prof
 from gradewise.operators import rules
+from gradewise.operators import split as _split
 from gradewise.operators.scale import apply_standard, fit_standard
 from gradewise.operators.separability import auc_binary, ks_two_sample
 from gradewise.operators.split import stratified_split
 from gradewise.roles import STUDENT_ROLES
 from gradewise.session import shared_path
+from gradewise.sources import standin as _standin
+from gradewise.sources import tables as _tables
 from gradewise.sources.files import read_csv, write_csv
+from gradewise.sources.materialize import materialized
 from gradewise.sources.standin import row_key_expr, student_table
 from gradewise.sources.tables import table
 
@@ -69,18 +75,20 @@ def _r(col, digits: int = DIGITS):
     return F.round(col, digits)
 
 
-# Bump when the stand-in or the split changes: it keys the written table.
-PREP_VERSION = "p1"
 STANDIN_COLUMNS = [R.key, *R.features, R.label, "prediction"]
 
 
 def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in + exact stratified split, written once to the shared folder
-    and read back by every query (see sources/materialize.py)."""
-    from gradewise.sources.materialize import materialized
+    and read back by every query (see sources/materialize.py).  The joined
+    table is written first, so ranking it does not run the join twice."""
     inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("lineitem", "orders", "customer", "part", "supplier")]
-    return materialized(spark, "student_split", PREP_VERSION, inputs,
-                        lambda: stratified_split(student_table(spark, sf_dir), R))
+
+    def joined() -> DataFrame:
+        return materialized(spark, "student", (_standin, _tables), inputs, lambda: student_table(spark, sf_dir))
+
+    return materialized(spark, "student_split", (_standin, _tables, _split, _prefix), inputs,
+                        lambda: stratified_split(joined(), R))
 
 
 def standin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +110,7 @@ def q_features_base(spark, sf_dir):
 
 def _version_path(spark, stem: str, sf_dir: str) -> str:
     tag = hashlib.md5(sf_dir.encode()).hexdigest()[:10]
-    return shared_path(spark, f"{stem}_v1_{tag}")
+    return shared_path(spark, f"{stem}_{spark.sparkContext.applicationId}_{tag}")
 
 
 def q_io_csv_roundtrip(spark, sf_dir):
@@ -139,12 +147,11 @@ def q_clean_repair_decimal(spark, sf_dir):
 
 
 def q_io_clean_table(spark, sf_dir):
-    """Raw -> clean materialisation: reuse the clean table if it exists,
-    else repair and write it (mode 'ignore'); then read it back."""
-    path = _version_path(spark, "clean_table", sf_dir)
-    clean = raw_decimal_table(spark, sf_dir).select("row_key", repair_decimal(F.col("raw_text")).alias("StudyTimeWeekly"))
-    clean.write.mode("ignore").parquet(path)
-    return spark.read.parquet(path)
+    """Raw -> clean materialisation: reuse the clean table of the same raw
+    files and code if its write ended, else repair and write it; then read it back."""
+    return materialized(
+        spark, "clean_table", (raw_decimal_table, _repair), [f"{sf_dir.rstrip('/')}/lineitem.parquet"],
+        lambda: raw_decimal_table(spark, sf_dir).select("row_key", repair_decimal(F.col("raw_text")).alias("StudyTimeWeekly")))
 
 
 def q_profile_schema(spark, sf_dir):

@@ -40,7 +40,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is.  Only when it is unset (local tests) a private folder is created.
+    as is.  Only when it is unset and the master is local a private folder is
+    created; elsewhere executors could not read it, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,15 +49,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="gradewise-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path for written tables next to the checkpoints (shared storage)."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tables/{name}"
+    """A path for written tables in shared storage: beside the checkpoint
+    folder's per-application parts, so that a later application finds them."""
+    own = ensure_checkpoint_dir(spark).rstrip("/")
+    base = spark.conf.get("spark.checkpoint.dir", None) or own.rsplit("/", 1)[0]
+    return f"{base.rstrip('/')}/tables/{name}"
 
 
 def bounded_broadcast(lookup: DataFrame, bound_rows: int, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

@@ -5,9 +5,9 @@ shared folder named by ``spark.checkpoint.dir`` and read back by every
 query: lineage is cut, a lost executor re-reads files instead of replaying
 the joins and window, and later scans prune columns and push filters.
 
-The path carries a code version and a fingerprint of the inputs (path,
-length and modification time of every file), so a
-change of data or of the preparation code never reuses a stale table.
+The path carries a fingerprint of the inputs (path, length and modification
+time of every file) and of the preparing code's source, taken on every call, so
+a change of data or of the preparation code never reuses a stale table.
 File status comes from the ``binaryFile`` source without its ``content``
 column, so no file body is read.
 """
@@ -15,49 +15,48 @@ column, so no file body is read.
 from __future__ import annotations
 
 import hashlib
+import inspect
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gradewise.session import shared_path
 
 
-def _file_status(spark: SparkSession, path: str) -> list[tuple]:
+def _status(spark: SparkSession, paths: list[str]) -> tuple:
+    """Number, bytes and an order-free hash of the paths' files: one row,
+    however many files there are."""
     try:
-        rows = (spark.read.format("binaryFile").load(path)
-                .select("path", "length", "modificationTime").collect())
+        files = spark.read.format("binaryFile").load(paths).select("path", "length", "modificationTime")
     except AnalysisException:  # missing path
-        return []
-    return sorted((r["path"], r["length"], str(r["modificationTime"])) for r in rows)
+        return (0, 0, 0)
+    return tuple(files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)),
+                           F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first())
 
 
-def _fingerprint(spark: SparkSession, paths: list[str]) -> str:
-    h = hashlib.md5()
-    for p in paths:
-        h.update(p.encode())
-        for st in _file_status(spark, p):
-            h.update(repr(st).encode())
+def fingerprint(spark: SparkSession, paths: list[str], code: tuple = ()) -> str:
+    """A digest of the files under ``paths`` and the source of ``code``."""
+    h = hashlib.md5(repr((paths, _status(spark, paths))).encode())
+    for f in code:
+        h.update(inspect.getsource(f).encode())
     return h.hexdigest()[:16]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    return bool(_file_status(spark, f"{path}/_SUCCESS"))
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table's write ended well: the marker table written after it
+    has a committed file."""
+    return _status(spark, [f"{path}.done"])[0] > 0
 
 
-_RESOLVED: dict[tuple, str] = {}
-
-
-def materialized(spark: SparkSession, name: str, version: str, inputs: list[str],
+def materialized(spark: SparkSession, name: str, code: tuple, inputs: list[str],
                  build: Callable[[], DataFrame]) -> DataFrame:
-    """Write ``build()`` once per (inputs, version) and scan the written
-    table; the resolved path is remembered for the rest of the application
-    so later queries go straight to the scan."""
-    memo_key = (spark.sparkContext.applicationId, name, version, tuple(inputs))
-    path = _RESOLVED.get(memo_key)
-    if path is None:
-        path = shared_path(spark, f"{name}_{version}_{_fingerprint(spark, inputs)}")
-        if not _exists(spark, path):
-            build().write.mode("overwrite").parquet(path)
-        _RESOLVED[memo_key] = path
+    """Write ``build()`` once per state of the inputs and of the modules or
+    functions in ``code``, and scan the written table.  The state is looked at
+    on every call; a write that did not end is done again."""
+    path = shared_path(spark, f"{name}_{fingerprint(spark, inputs, code)}")
+    if not complete(spark, path):
+        build().write.mode("overwrite").parquet(path)
+        spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{path}.done")
     return spark.read.parquet(path)
