@@ -82,6 +82,9 @@ class Codec:
             self.surface[i] = p.replace(MARK, " ").encode()
         for b, i in enumerate(self.byte_ids):
             self.surface[i] = bytes([b])
+        self.flat = np.frombuffer(b"".join(self.surface), np.uint8)
+        self.lengths = np.array([len(x) for x in self.surface])
+        self.places = np.cumsum(self.lengths) - self.lengths
 
     def _step(self, word: str, i: int, best: list[float]) -> int:
         at, top = i - 1, -math.inf
@@ -141,13 +144,26 @@ class Codec:
         """Ids of each text as packed little-endian numbers (``self.dtype``)."""
         split = [self.words(self.library.normalize(t)) if t else [] for t in texts]
         every = set().union(*split)
-        new = every - self.memo.keys()
+        memo = self.memo
+        new = {w for w in every if w not in memo}
         if len(self.memo) + len(new) > MEMO:  # the table is begun anew
             new = every
         if new:
             self.learn(new)
         return [b"".join(map(self.memo.__getitem__, words)) for words in split]
 
+    def decode_batch(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The bytes of each row of ids (rows are ids[offsets[i]:offsets[i + 1]])."""
+        size = self.lengths[ids]
+        after = np.cumsum(size)
+        flat = self.flat[np.repeat(self.places[ids] - after + size, size) + np.arange(after[-1] if len(after) else 0)]
+        if len(ids):  # the mark before a text's first word is no space of its own
+            cut = np.concatenate([[0], after])[offsets]
+        else:
+            cut = np.zeros(len(offsets), np.int64)
+        raw = flat.tobytes()
+        return [raw[a + (raw[a:a + 1] == b" "):b] if a < b else b"" for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.surface.__getitem__, ids)).decode(errors="replace")
         return text[1:] if ids and text.startswith(" ") else text
@@ -182,7 +198,7 @@ def encode(docs: DataFrame, model: str = MODEL, column: str = "text") -> DataFra
                 kind = np.dtype(own.dtype)
                 values = np.frombuffer(b"".join(packed), kind).astype(np.int32)
                 offsets = np.cumsum([0, *(len(p) // kind.itemsize for p in packed)])
-                same = [own.decode(np.frombuffer(p, kind).tolist()) == t for p, t in zip(packed, texts)]
+                same = [b == t.encode() for b, t in zip(own.decode_batch(values, offsets), texts)]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in names), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)),
                      pa.array(np.diff(offsets), pa.int32()), pa.array(same)], schema.names)
