@@ -66,8 +66,8 @@ FEATURE_SETS: dict[str, list[str]] = {
     "v4": [
         "StudyTimePerAbsence", "SupportTutoringInteraction", "AcademicEngagementScore",
         "ActivityCount", "SupportActivityInteraction", "AbsenceRateLog", "StudySupportProduct",
-        "AbsencePressure", "SupportMinusAbsences", "TutoringAbsenceInteraction",
-        "StudyActivityBalance", "CommitmentComposite",
+        "AbsencePressure", "TutoringAbsenceInteraction", "StudyActivityBalance",
+        "SupportMinusAbsences", "CommitmentComposite",
     ],
     "v2_ext": list(FORMULAS),
 }
@@ -75,7 +75,3 @@ FEATURE_SETS: dict[str, list[str]] = {
 
 def derived(names: list[str]) -> dict[str, Column]:
     return {n: FORMULAS[n]() for n in names}
-
-
-def feature_set_columns(name: str) -> list[str]:
-    return BASE_COLUMNS + FEATURE_SETS[name]

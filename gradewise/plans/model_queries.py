@@ -198,13 +198,18 @@ MLP_VARIANTS = {
 }
 
 
+# The feature set of each variant.
+MLP_VARIANT_FEATURES = {n: "v4" if n in ("128-96-64", "160-128-96-64-32") else "v1" for n in MLP_VARIANTS}
+
+
 def q_model_mlp_variants(spark, sf_dir):
-    a, cols = prepared(spark, sf_dir, feature_set_roles("v1"), "label",
-                       frame=feature_set_frame(spark, sf_dir, "v1"))
     out = None
     for name, hidden in MLP_VARIANTS.items():
+        features = MLP_VARIANT_FEATURES[name]
+        a, cols = prepared(spark, sf_dir, feature_set_roles(features), "label",
+                           frame=feature_set_frame(spark, sf_dir, features))
         model = M.fit(M.mlp(len(cols), hidden, N_CLASSES, max_iter=30), _split(a, "train"))
-        m = M.scored_metrics(model.transform(_split(a, "test")), f"MLP {name}, v1")
+        m = M.scored_metrics(model.transform(_split(a, "test")), f"MLP {name}, {features}")
         out = m if out is None else out.unionByName(m)
     return out
 

@@ -30,9 +30,6 @@ class Roles:
             ordered=tuple(c for c in self.ordered if c not in cols),
         )
 
-    def with_continuous(self, *cols: str) -> "Roles":
-        return replace(self, continuous=tuple(self.continuous) + tuple(cols))
-
 
 # Column roles of the student table (continuous block first,
 # then the int-coded categoricals; the two ordered categoricals).

@@ -17,10 +17,3 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
-
-
-def write_parquet_once(df: DataFrame, path: str) -> DataFrame:
-    """Materialise ``df`` at ``path`` unless it is already there (the clean
-    table is the cache shared by all jobs), then scan it."""
-    df.write.mode("ignore").parquet(path)
-    return df.sparkSession.read.parquet(path)
