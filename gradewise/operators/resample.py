@@ -3,7 +3,7 @@
 Class weights n / (k * n_c) come from one grouped count; the weight joins
 back as a k-row map literal.  SMOTE brings every non-majority class to the
 majority count: each class member seeds floor/ceil(m_c / n_c) synthetic rows
-(spread evenly by its class rank), a hash of (seed, j) picks one of its k
+(spread evenly by its class rank), the md5 of (seed, key, j) picks one of its k
 nearest same-class neighbours and the interpolation factor, and the new
 point is x + lambda * (neighbour - x).  Neighbours come from the exact
 blocked kNN of :mod:`gradewise.operators.neighbors`, partitioned by class.
@@ -43,6 +43,11 @@ def smote_plan_counts(counts: DataFrame, label: str) -> DataFrame:
     )
 
 
+def hex_int(col: str, start: int) -> Column:
+    """Eight hex digits of an md5 as a number below 2**32: a draw that any engine can repeat."""
+    return F.conv(F.substring(col, start, 8), 16, 10).cast("long")
+
+
 def smote(df: DataFrame, key: str, label: str, vec: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Synthetic rows for every non-majority class.
 
@@ -66,11 +71,11 @@ def smote(df: DataFrame, key: str, label: str, vec: str, k: int = 5, seed: int =
         (F.col("_per") > 0) & (F.col("_k") > 0)).select(
         F.col(key).alias("seed_key"), label, F.col(vec).alias("_x"), "_k",
         F.explode(F.sequence(F.lit(0), F.col("_per") - 1)).alias("j"))
-    h = F.xxhash64(F.col("seed_key"), F.col("j"), F.lit(seed))
+    seeds = seeds.withColumn("_draw", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("seed_key").cast("string"), F.col("j").cast("string"))))
     seeds = seeds.withColumns({
-        "nn_rank": (F.pmod(h, F.col("_k")) + 1).cast("int"),
-        "lambda": F.pmod(F.xxhash64(F.col("seed_key"), F.col("j"), F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30),
-    })
+        "nn_rank": (F.pmod(hex_int("_draw", 1), F.col("_k")) + 1).cast("int"),
+        "lambda": hex_int("_draw", 9) / float(1 << 32),
+    }).drop("_draw")
     pick = nn.select(F.col("query_key").alias("seed_key"), F.col("rank").alias("nn_rank"), F.col("ref_key").alias("neighbour_key"))
     s = seeds.join(pick, ["seed_key", "nn_rank"])
     vecs = df.select(F.col(key).alias("neighbour_key"), F.col(vec).alias("_y"))

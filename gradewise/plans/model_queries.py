@@ -15,12 +15,19 @@ from pyspark.sql import functions as F
 from gradewise.functions.features import BASE_COLUMNS, FEATURE_SETS, derived
 from gradewise.operators import encode as enc
 from gradewise.operators import models as M
+from gradewise.operators import neighbors as _neighbors
+from gradewise.operators import prefix as _prefix
+from gradewise.operators import resample as _resample
+from gradewise.operators import split as _split_rows
 from gradewise.operators.embeddings import embedding_dims
 from gradewise.operators.metrics import confusion_cells
 from gradewise.operators.resample import class_weights, smote, weight_column
 from gradewise.operators.separability import pca
 from gradewise.operators.tune import grid, search
+from gradewise.plans.queries import split_table, student_inputs
 from gradewise.roles import NO_GPA_ROLES, STUDENT_ROLES, Roles
+from gradewise.sources import standin as _standin
+from gradewise.sources.materialize import materialized
 
 R = STUDENT_ROLES
 N_CLASSES = 5
@@ -37,7 +44,6 @@ def _memo(spark: SparkSession, key: tuple, build):
 def split_frame(spark, sf_dir, roles: Roles = R) -> DataFrame:
     """The written stand-in + split table (same split for every scenario:
     roles differ only in feature columns, never in key or label)."""
-    from gradewise.plans.queries import split_table
     return split_table(spark, sf_dir)
 
 
@@ -218,7 +224,8 @@ def replicate_by_weight(df: DataFrame, weight: str, key: str, seed: int = 42) ->
     """Deterministic weighted replication (MLP has no weightCol): floor(w)
     copies plus one more when hash(key) falls under the fractional part."""
     frac = F.col(weight) - F.floor(weight)
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    u = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") / float(1 << 32)
     copies = (F.floor(weight) + F.when(u < frac, 1).otherwise(0)).cast("int")
     return df.withColumn("_copies", copies).filter(F.col("_copies") > 0).withColumn(
         "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy")
@@ -238,7 +245,10 @@ def _smote_frame(spark, sf_dir, roles: Roles):
     def build():
         a, cols = prepared(spark, sf_dir, roles, "onehot")
         tr = _split(a, "train").select(R.key, F.col("_y").alias(R.label), vector_to_array(M.FEATURES).alias("vec"))
-        syn = smote(tr, R.key, R.label, "vec", k=5)
+        # written once: a model reads its rows several times
+        name = "smote_rows" if roles == R else "smote_rows_" + "_".join(roles.continuous)
+        syn = materialized(spark, name, (_resample, _neighbors, _prefix, enc, _split_rows, _standin), student_inputs(sf_dir),
+                           lambda: smote(tr, R.key, R.label, "vec", k=5))
         return a, cols, tr, syn
     return _memo(spark, (sf_dir, "smote", roles), build)
 
@@ -308,22 +318,26 @@ def q_feature_set_benchmark(spark, sf_dir):
 
 # --------------------------------------------------------- factors, PCA
 
-def q_embed_fm(spark, sf_dir):
+def category_factors(spark, sf_dir, roles: Roles) -> list[tuple[str, int, list[float]]]:
     """Per category level, a latent vector learned by factorization machines
     over the one-hot inputs (mean over the one-vs-rest class models)."""
-    a, cols = prepared(spark, sf_dir, R, "onehot")
-    dims = {r["feature"]: r["dim"] for r in embedding_dims(split_frame(spark, sf_dir), list(R.categorical)).collect()}
-    k = max(dims.values())
-    model = M.fit(M.fm_ovr(k, max_iter=20), _split(a, "train")).stages[-1]
-    mats = [m.factors.toArray() for m in model.models]
-    rows = []
-    for i, c in enumerate(cols):
-        if c in R.continuous:
-            continue
-        feat, level = c.rsplit("_", 1)
-        vec = [float(sum(m[i, j] for m in mats) / len(mats)) for j in range(dims[feat])]
-        rows.append((feat, int(level), vec))
-    return spark.createDataFrame(rows, "feature string, level int, factors array<double>")
+    def build():
+        a, cols = prepared(spark, sf_dir, roles, "onehot")
+        dims = {r["feature"]: r["dim"] for r in embedding_dims(split_frame(spark, sf_dir), list(roles.categorical)).collect()}
+        model = M.fit(M.fm_ovr(max(dims.values()), max_iter=20), _split(a, "train")).stages[-1]
+        mats = [m.factors.toArray() for m in model.models]
+        rows = []
+        for i, c in enumerate(cols):
+            if c in roles.continuous:
+                continue
+            feat, level = c.rsplit("_", 1)
+            rows.append((feat, int(level), [float(sum(m[i, j] for m in mats) / len(mats)) for j in range(dims[feat])]))
+        return rows
+    return _memo(spark, (sf_dir, "factors", roles), build)
+
+
+def q_embed_fm(spark, sf_dir):
+    return spark.createDataFrame(category_factors(spark, sf_dir, R), "feature string, level int, factors array<double>")
 
 
 def _pca(spark, sf_dir):

@@ -78,11 +78,16 @@ def _r(col, digits: int = DIGITS):
 STANDIN_COLUMNS = [R.key, *R.features, R.label, "prediction"]
 
 
+def student_inputs(sf_dir: str) -> list[str]:
+    """The tables that the stand-in is joined from."""
+    return [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("lineitem", "orders", "customer", "part", "supplier")]
+
+
 def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in + exact stratified split, written once to the shared folder
     and read back by every query (see sources/materialize.py).  The joined
     table is written first, so ranking it does not run the join twice."""
-    inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("lineitem", "orders", "customer", "part", "supplier")]
+    inputs = student_inputs(sf_dir)
 
     def joined() -> DataFrame:
         return materialized(spark, "student", (_standin, _tables), inputs, lambda: student_table(spark, sf_dir))
