@@ -24,17 +24,12 @@ def present(col: str) -> Column:
 
 
 def schema_table(df: DataFrame) -> DataFrame:
-    """Column, type, non-null count and approximate distinct count (HLL++
-    sketches merge map-side) — one pass over the table."""
-    aggs = []
-    for c in df.columns:
-        aggs += [F.count(c).alias(f"nn_{c}"), F.approx_count_distinct(c).alias(f"nd_{c}")]
-    wide = df.agg(*aggs)
-    types = dict(df.dtypes)
+    """Position, column, type and non-null count, in one pass over the table."""
+    wide = df.agg(*[F.count(c).alias(f"nn_{c}") for c in df.columns])
     rows = F.array(*[
-        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.lit(types[c]).alias("data_type"),
-                 F.col(f"nn_{c}").alias("non_null"), F.col(f"nd_{c}").alias("approx_distinct"))
-        for i, c in enumerate(df.columns)
+        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.lit(t).alias("data_type"),
+                 F.col(f"nn_{c}").alias("non_null"))
+        for i, (c, t) in enumerate(df.dtypes)
     ])
     return wide.select(F.inline(rows))
 

@@ -543,6 +543,14 @@ def _two_stage() -> str:
 SELECT row_key, GradeClass, CAST(CASE WHEN p[5] >= 0.5 THEN 4 ELSE {_argmax('p[1:4]')} END AS INTEGER) AS pred_two_stage FROM pp""")
 
 
+def _schema() -> str:
+    cols = ["row_key", *R.features, R.label, "prediction"]
+    rows = " UNION ALL ".join(
+        f"SELECT {i} AS position, '{c}' AS column_name, any_value(typeof({c})) AS t, count({c}) AS non_null FROM s" for i, c in enumerate(cols))
+    return f"""WITH s AS ({STANDIN}), u AS ({rows})
+SELECT position, column_name, CASE t WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(t) END AS data_type, non_null FROM u"""
+
+
 def _knn() -> str:
     return """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
 rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS r,
@@ -650,6 +658,7 @@ def oracle_sql() -> dict[str, str]:
         "predict_thresholds": _thresholds(),
         "predict_ordinal": _ordinal(),
         "predict_two_stage": _two_stage(),
+        "profile_schema": _schema(),
         "knn_classify": _knn(),
         "class_weights_labels": _class_weights_labels(),
         "smote_counts_labels": _smote_counts_labels(),
