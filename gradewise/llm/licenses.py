@@ -1,25 +1,28 @@
-"""Licence scan: winnowed fingerprints, then banded alignment.
-
-A text is reduced to its lower-case letters and digits.  Of the hashes of its
-``GRAM``-character grams the smallest of every ``WINDOW`` in a row is kept (winnowing), so
-any common run of GRAM + WINDOW - 1 characters leaves a common fingerprint.  The templates'
-fingerprints form an inverted index (hash to template and place); each hit
-names a template and a diagonal, and hits on near diagonals are one candidate.
-A candidate's words are then aligned with the template's in a band around its
-diagonal; the alignment gives the matched share of the template's words and
-the span in the text.
+"""Licence scan: seed words, a count of shared words, then banded alignment.
+
+A text is reduced to its lower-case words of letters and digits.  A template of n words
+may lose d = n - ceil(coverage * n) of them, so of any d + 1 of its words one must be in the
+text, at its place up to the band: the d + 1 longest are its seeds.  The templates'
+seeds form an inverted index (word to template and place).  Every shift within the band of a
+seed's diagonal is a candidate; those whose band does not hold enough of the template's words
+are dropped, the others are aligned.  Both steps only drop shifts that cannot reach the
+coverage, so the result equals an alignment at every shift of every text; the alignment
+gives the matched share of the template's words and the span in the text.  Of spans of one
+template that overlap, the one with more matched words stays, then the shorter, then the first.
 
 Templates are broadcast in blocks of at most ``BLOCK_BYTES`` of text; every
 block is held against all texts, so any number of templates works.
 
 Defined cases: null and empty texts have no matches; a template with no
-letters or digits matches nothing; a template shorter than a gram is found only as
-its own whole run of characters; repeated rows are reported each; several
+letters or digits matches nothing; a template of fewer than ``SHORT`` letters and
+digits is found only as its own whole run of words; repeated rows are reported each; several
 copies of a template in one text are several rows.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +32,11 @@ from pyspark.sql import functions as F
 
 from gradewise.llm.words import LOWER, blocks, text_buffer, words_of
 
-GRAM = 12
-WINDOW = 8
+SHORT = 12  # templates of fewer letters and digits must be whole
 COVERAGE = 0.8  # least matched share of a template's words
 BAND = 12  # words that insertions may shift an alignment by
 BLOCK_BYTES = 8 << 20
+CELLS = 1 << 22  # template words times shifts looked at together
 
 # Fixed texts: usual licence notices.
 TEMPLATES = {
@@ -58,46 +61,6 @@ _KEPT[48:58] = _KEPT[65:91] = _KEPT[97:123] = _KEPT[128:] = True
 _BREAKS = ~_KEPT
 
 
-def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, byte offset in the row, hash) of every winnowed gram."""
-    buf, offsets = text_buffer(column)
-    keep = np.flatnonzero(_KEPT[buf])
-    if len(keep) < GRAM:
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64)
-    row = np.repeat(np.arange(len(column)), np.diff(offsets))[keep]
-    letters = LOWER[buf[keep]].astype(np.uint64) + np.uint64(1)
-    n = len(letters) - GRAM + 1
-    code = np.zeros(n, np.uint64)
-    for k in range(GRAM):
-        code = code * np.uint64(0x100000001B3) + letters[k:k + n]
-    code ^= code >> np.uint64(29)
-    code *= np.uint64(0xBF58476D1CE4E5B9)
-    code ^= code >> np.uint64(32)
-    inside = row[:n] == row[GRAM - 1:]  # a gram of one text
-    code[~inside] = np.iinfo(np.uint64).max
-    # the smallest of each WINDOW grams in a row, by doubling
-    least, span = code, 1
-    while span < WINDOW:
-        step = min(span, WINDOW - span)
-        least = np.minimum(least[:len(least) - step], least[step:]) if len(least) > step else least[:1]
-        span += step
-    chosen = np.zeros(n, bool)
-    # a gram is kept when it is the least of some window that holds it; the windows' minima
-    # are spread back over their grams
-    reach = np.full(n + WINDOW - 1, np.uint64(0))
-    for k in range(WINDOW):
-        reach[k:k + len(least)] = np.maximum(reach[k:k + len(least)], least)
-    chosen = (code <= reach[:n]) & inside
-    # texts with fewer grams than a window keep their least
-    per_row = np.bincount(row[:n][inside], minlength=len(column))
-    for r in np.flatnonzero((per_row > 0) & (per_row < WINDOW)):
-        at = np.flatnonzero(inside & (row[:n] == r))
-        chosen[at[np.argmin(code[at])]] = True
-    at = np.flatnonzero(chosen)
-    return row[at], keep[at] - offsets[row[at]], code[at]
-
-
 def align(template: list[bytes], text: list[bytes], shift: int, band: int = BAND) -> tuple[int, int, int]:
     """Matched words, and the range [start, end) of matched text words, of the
     best alignment of the whole template with a part of ``text`` whose word i
@@ -139,59 +102,106 @@ def align(template: list[bytes], text: list[bytes], shift: int, band: int = BAND
     return matched, min(places, default=0), max(places, default=-1) + 1
 
 
+def reach(template: np.ndarray, text: np.ndarray, lo: int, hi: int, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the shifts lo to hi: how many of the template's words are in the
+    text within ``band`` of their place, and the least diagonal of the band on
+    which all of them are (or the greatest integer)."""
+    n, width = len(template), 2 * band + 1
+    diagonals = np.arange(lo - band, hi + band + 1)
+    at = diagonals + np.arange(n)[:, None]
+    same = (at >= 0) & (at < len(text)) & (text[np.clip(at, 0, len(text) - 1)] == template[:, None])
+    total = np.zeros((n, len(diagonals) + 1), np.int32)
+    np.cumsum(same, axis=1, out=total[:, 1:])
+    found = (total[:, width:] > total[:, :-width]).sum(axis=0)
+    whole = np.where(same.all(axis=0), diagonals, np.iinfo(np.int64).max)
+    return found, np.lib.stride_tricks.sliding_window_view(whole, width).min(axis=1)
+
+
 class TemplateIndex:
-    def __init__(self, templates: dict[str, str]) -> None:
+    def __init__(self, templates: dict[str, str], coverage: float) -> None:
         self.names = sorted(n for n, t in templates.items() if t)
-        column = pa.array([templates[n] for n in self.names], pa.string())
-        row, place, code = fingerprints(column)
-        words = words_of(column, _BREAKS, lower=True)
+        words = words_of(pa.array([templates[n] for n in self.names], pa.string()), _BREAKS, lower=True)
         self.words = [[words.buf[a:b].tobytes() for a, b in zip(words.start[lo:hi], words.end[lo:hi])]
                       for lo, hi in zip(words.first[:-1], words.first[1:])]
-        self.whole = {}  # templates shorter than a gram
-        for i in range(len(self.names)):
-            if self.words[i] and not (row == i).any():
-                self.whole[i] = self.words[i]
-        starts = [words.start[lo:hi] - text_buffer(column)[1][i] for i, (lo, hi) in enumerate(zip(words.first[:-1], words.first[1:]))]
-        at = np.array([np.searchsorted(starts[r], p, "right") - 1 for r, p in zip(row, place)], np.int64)
-        order = np.argsort(code, kind="stable")
-        self.code, self.owner, self.word = code[order], row[order], at[order]
+        self.ids = {w: i for i, w in enumerate(sorted({w for t in self.words for w in t}))}
+        self.coded = [np.array([self.ids[w] for w in t], np.int64) for t in self.words]
+        self.need = [max(math.ceil(coverage * len(t) - 1e-9), 1) for t in self.words]
+        self.whole = {}  # short templates
+        codes = words.codes()
+        seeds = []
+        for i, t in enumerate(self.words):
+            if t and sum(map(len, t)) < SHORT:
+                self.whole[i] = t
+            elif self.need[i] <= len(t):
+                longest = sorted(range(len(t)), key=lambda k: (-len(t[k]), k))
+                seeds.extend((int(codes[words.first[i] + k]), i, k) for k in longest[:len(t) - self.need[i] + 1])
+        seeds.sort()
+        self.code = np.array([x[0] for x in seeds], np.uint64)
+        self.owner, self.word = [np.array([x[k] for x in seeds], np.int64) for k in (1, 2)]
         self.seen = np.zeros(1 << 16, bool)
-        self.seen[(code >> np.uint64(48)).astype(np.int64)] = True
+        self.seen[(self.code >> np.uint64(48)).astype(np.int64)] = True
+
+    def _aligned(self, template: int, text: list[bytes], coded: np.ndarray, seeds: list[int], band: int) -> Iterator[tuple]:
+        """(matched, first word, end word) at every shift that reaches the coverage."""
+        words, need = self.words[template], self.need[template]
+        near = min(band, max(len(words) // 2, 1))
+        step = max(CELLS // len(words), 1)
+        done = -len(words) - near  # shifts up to here are done
+        for d in sorted(seeds):
+            lo, hi = max(d - near, done + 1), d + near
+            for a in range(lo, hi + 1, step):
+                b = min(a + step - 1, hi)
+                found, whole = reach(self.coded[template], coded, a, b, near)
+                for k in np.flatnonzero(found >= need):
+                    if whole[k] < np.iinfo(np.int64).max:  # no alignment is better
+                        yield len(words), int(whole[k]), int(whole[k]) + len(words)
+                        continue
+                    matched, first, end = align(words, text, a + int(k), near)
+                    if matched >= need:
+                        yield matched, first, end
+            done = hi
 
-    def scan(self, part: pa.RecordBatch, coverage: float, band: int) -> Iterator[tuple]:
+    def scan(self, part: pa.RecordBatch, band: int) -> Iterator[tuple]:
         """(row, template, matched, first word, end word, first byte, end byte)."""
         column = part.column("text")
-        row, place, code = fingerprints(column)
-        near = self.seen[(code >> np.uint64(48)).astype(np.int64)]
-        row, place, code = row[near], place[near], code[near]
-        lo, hi = np.searchsorted(self.code, code, "left"), np.searchsorted(self.code, code, "right")
-        hits: dict[int, list[tuple[int, int, int]]] = {}
-        for i in np.flatnonzero(hi > lo):
-            for k in range(lo[i], hi[i]):
-                hits.setdefault(int(row[i]), []).append((int(self.owner[k]), int(place[i]), int(self.word[k])))
+        w = words_of(column, _BREAKS, lower=True)
+        codes = w.codes()
+        near = np.flatnonzero(self.seen[(codes >> np.uint64(48)).astype(np.int64)])
+        lo, hi = np.searchsorted(self.code, codes[near], "left"), np.searchsorted(self.code, codes[near], "right")
+        hit = hi > lo
+        near, lo, hi = near[hit], lo[hit], hi[hit]
+        row = np.searchsorted(w.first, near, "right") - 1
+        hits: dict[int, dict[int, set[int]]] = {}
+        for r, j, a, b in zip(row.tolist(), (near - w.first[row]).tolist(), lo.tolist(), hi.tolist()):
+            for k in range(a, b):
+                hits.setdefault(r, {}).setdefault(int(self.owner[k]), set()).add(j - int(self.word[k]))
         rows = set(hits)
         if self.whole:
             rows.update(range(part.num_rows))
+        starts = text_buffer(column)[1]
         for r in sorted(rows):
-            w = words_of(column.slice(r, 1), _BREAKS, lower=True)
-            text = [w.buf[a:b].tobytes() for a, b in zip(w.start, w.end)]
-            shifts: dict[int, list[int]] = {}
-            for template, byte, word in hits.get(r, []):
-                shifts.setdefault(template, []).append(int(np.searchsorted(w.start, byte, "right")) - 1 - word)
+            start, end = (x[w.first[r]:w.first[r + 1]] - starts[r] for x in (w.start, w.end))
+            text = [w.buf[a + starts[r]:b + starts[r]].tobytes() for a, b in zip(start, end)]
+            coded = np.array([self.ids.get(x, -1) for x in text], np.int64)
+            found: dict[int, set[tuple[int, int, int]]] = {}
+            for template, seeds in hits.get(r, {}).items():
+                found[template] = set(self._aligned(template, text, coded, list(seeds), band))
             for template, whole in self.whole.items():
                 n = len(whole)
-                shifts.setdefault(template, []).extend(i for i in range(len(text) - n + 1) if text[i:i + n] == whole)
-            for template, found in sorted(shifts.items()):
-                words, last_end, tried = self.words[template], -1, None
-                near = min(band, max(len(words) // 2, 1))  # diagonals this close are one candidate
-                for shift in sorted(set(found)):
-                    if tried is not None and shift - tried <= near:
-                        continue
-                    tried = shift
-                    matched, a, z = align(words, text, shift, near)
-                    if matched and matched >= coverage * len(words) - 1e-9 and a >= last_end:
-                        last_end = z
-                        yield r, template, matched, a, z, int(w.start[a]), int(w.end[z - 1])
+                found[template] = {(n, i, i + n) for i in range(len(text) - n + 1) if text[i:i + n] == whole}
+            for template, spans in sorted(found.items()):
+                for matched, a, z in apart(spans):
+                    yield r, template, matched, a, z, int(start[a]), int(end[z - 1])
+
+
+def apart(spans: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of overlapping spans (matched, first word, end word) the best, in text order."""
+    kept: list[tuple[int, int, int]] = []  # by first word
+    for matched, a, z in sorted(spans, key=lambda s: (-s[0], s[2] - s[1], s[1])):
+        at = bisect_left(kept, a, key=lambda s: s[1])
+        if (at == 0 or kept[at - 1][2] <= a) and (at == len(kept) or z <= kept[at][1]):
+            kept.insert(at, (matched, a, z))
+    return kept
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, band: int = BAND) -> DataFrame:
@@ -212,7 +222,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
             block = {}
         block[name] = text or ""
     for block in [*every, block] if block else []:
-        shared = docs.sparkSession.sparkContext.broadcast(TemplateIndex(block))
+        shared = docs.sparkSession.sparkContext.broadcast(TemplateIndex(block, coverage))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -220,7 +230,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                 for part in blocks(batch):
                     ids = part.column("doc_id").to_pylist()
                     found = [(ids[r], index.names[t], m / len(index.words[t]), m, len(index.words[t]), a, z, c, d)
-                             for r, t, m, a, z, c, d in index.scan(part, coverage, band)]
+                             for r, t, m, a, z, c, d in index.scan(part, band)]
                     yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], names)
 
         out = out.unionByName(rows.mapInArrow(run, schema))

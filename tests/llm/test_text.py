@@ -1,6 +1,7 @@
 """Token counts, SentencePiece, packing, licences, quality and toxicity."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -163,6 +164,54 @@ def test_licence_scan_finds_every_notice(spark):
     assert plain <= got
 
 
+def test_licence_scan_finds_every_notice_with_one_word_changed(spark):
+    """Against an alignment that is not pruned: its band holds the whole text."""
+    rng = random.Random(6)
+    filler = lambda: [rng.choice(["alpha", "the", "license", "under", "of", "software"]) for _ in range(rng.randint(0, 9))]
+    docs, meant = [], []
+    for name, notice in licenses.TEMPLATES.items():
+        words = re.findall("[a-z0-9]+", notice.lower())
+        changes = [words]
+        for i in range(len(words)):
+            changes += [words[:i] + words[i + 1:], [*words[:i], "x", *words[i + 1:]], [*words[:i], "x", *words[i:]]]
+        for changed in changes:
+            text = filler() + changed + filler()
+            matched, _a, _z = licenses.align([w.encode() for w in words], [w.encode() for w in text], 0, band=len(text))
+            assert matched >= len(words) - 1
+            meant.append((len(docs), name, matched))
+            docs.append((len(docs), " ".join(text)))
+    got = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert set(meant) <= {(r["doc_id"], r["license"], r["matched_words"]) for r in got}
+
+
+def test_licence_scan_equals_an_alignment_at_every_shift(spark):
+    rng = random.Random(7)
+    names = ["MIT", "Apache-2.0", "CC-BY-NC-4.0"]
+    words = {n: re.findall("[a-z0-9]+", licenses.TEMPLATES[n].lower()) for n in names}
+    pool = [w for n in names for w in words[n]]
+    docs, meant = [], []
+    for i in range(60):
+        text = []
+        for _ in range(rng.randint(1, 3)):
+            part = list(words[rng.choice(names)])
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(part))
+                part[at:at + rng.randint(0, 1)] = rng.choice([[], ["x"], [rng.choice(pool)]])
+            text += [rng.choice(pool) for _ in range(rng.randint(0, 4))] + part
+        docs.append((i, " ".join(text)))
+        for n in names:
+            t, w = [x.encode() for x in words[n]], [x.encode() for x in text]
+            every = [licenses.align(t, w, s, band=len(t) // 2) for s in range(-2 * len(t), len(w) + len(t))]
+            spans = []
+            for m, a, z in sorted({x for x in every if x[0] >= 0.8 * len(t)}, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+                if all(z <= b or y <= a for _m, b, y in spans):
+                    spans.append((m, a, z))
+            meant += [(i, n, *x) for x in spans]
+    rows = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), {n: licenses.TEMPLATES[n] for n in names}).collect()
+    got = [(r["doc_id"], r["license"], r["matched_words"], r["first_word"], r["end_word"]) for r in rows]
+    assert sorted(got) == sorted(meant)
+
+
 def test_alignment_against_full_table():
     rng = random.Random(4)
     for _ in range(40):
