@@ -2,10 +2,11 @@
 
 A text is reduced to its lower-case words of letters and digits.  A template of n words
 may lose d = n - ceil(coverage * n) of them, so of any d + 1 of its words one must be in the
-text, at its place up to the band: the d + 1 longest are its seeds.  The templates'
-seeds form an inverted index (word to template and place).  Every shift within the band of a
-seed's diagonal is a candidate; those whose band does not hold enough of the template's words
-are dropped, the others are aligned.  Both steps only drop shifts that cannot reach the
+text, at its place up to the band, and of any d + m of them m must be: the 2d + 2 longest are
+its seeds (all, if there are fewer).  An inverted index (seed word to templates) gives the
+templates of which a text has enough seeds; shifts with enough of them on diagonals within the
+band are candidates; those whose band does not hold enough of the template's words
+are dropped, the others are aligned.  All steps only drop shifts that cannot reach the
 coverage, so the result equals an alignment at every shift of every text; the alignment
 gives the matched share of the template's words and the span in the text.  Of spans of one
 template that overlap, the one with more matched words stays, then the shorter, then the first.
@@ -24,13 +25,14 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewise.llm.words import LOWER, blocks, text_buffer, words_of
+from gradewise.llm.words import Words, blocks, text_buffer, words_of
 
 SHORT = 12  # templates of fewer letters and digits must be whole
 COVERAGE = 0.8  # least matched share of a template's words
@@ -38,7 +40,7 @@ BAND = 12  # words that insertions may shift an alignment by
 BLOCK_BYTES = 8 << 20
 CELLS = 1 << 22  # template words times shifts looked at together
 
-# Fixed texts: usual licence notices.
+# Fixed texts: usual licence notices; ``license_texts`` has whole licences.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
@@ -56,6 +58,25 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
 
+# Further notices that the query looks for, close to those above.
+NOTICES = {
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "LGPL-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                   "Lesser General Public License as published by the Free Software Foundation",
+    "AGPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                   "Affero General Public License as published by the Free Software Foundation",
+    "ISC-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+                 "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Unlicense-notice": "This is free and unencumbered software released into the public domain.",
+}
+
+
+def full_texts() -> dict[str, str]:
+    """The whole licences that come with the package."""
+    folder = resources.files("gradewise.llm") / "license_texts"
+    return {f"{f.name.removesuffix('.txt')}-text": f.read_text(encoding="utf-8") for f in folder.iterdir() if f.name.endswith(".txt")}
+
+
 _KEPT = np.zeros(256, bool)
 _KEPT[48:58] = _KEPT[65:91] = _KEPT[97:123] = _KEPT[128:] = True
 _BREAKS = ~_KEPT
@@ -127,28 +148,61 @@ class TemplateIndex:
         self.coded = [np.array([self.ids[w] for w in t], np.int64) for t in self.words]
         self.need = [max(math.ceil(coverage * len(t) - 1e-9), 1) for t in self.words]
         self.whole = {}  # short templates
+        self.seeds: dict[int, dict[int, np.ndarray]] = {}  # template to word id to places
+        self.least = np.zeros(len(self.names), np.int64)  # seeds that must be in a text
         codes = words.codes()
-        seeds = []
+        counts: dict[int, dict[int, int]] = {}  # word code to template to number of places
         for i, t in enumerate(self.words):
             if t and sum(map(len, t)) < SHORT:
                 self.whole[i] = t
             elif self.need[i] <= len(t):
-                longest = sorted(range(len(t)), key=lambda k: (-len(t[k]), k))
-                seeds.extend((int(codes[words.first[i] + k]), i, k) for k in longest[:len(t) - self.need[i] + 1])
-        seeds.sort()
-        self.code = np.array([x[0] for x in seeds], np.uint64)
-        self.owner, self.word = [np.array([x[k] for x in seeds], np.int64) for k in (1, 2)]
+                lost = len(t) - self.need[i]
+                places = sorted(range(len(t)), key=lambda k: (-len(t[k]), k))[:2 * lost + 2]
+                self.least[i] = len(places) - lost
+                by: dict[int, list[int]] = {}
+                for k in places:
+                    by.setdefault(int(self.coded[i][k]), []).append(k)
+                    owners = counts.setdefault(int(codes[words.first[i] + k]), {})
+                    owners[i] = owners.get(i, 0) + 1
+                self.seeds[i] = {w: np.array(ks, np.int64) for w, ks in by.items()}
+        self.code = np.array(sorted(counts), np.uint64)
+        flat = [(owner, n) for c in sorted(counts) for owner, n in sorted(counts[c].items())]
+        self.owner, self.places = [np.array([x[k] for x in flat], np.int64) for k in (0, 1)]
+        self.first = np.cumsum([0, *(len(counts[c]) for c in sorted(counts))])
         self.seen = np.zeros(1 << 16, bool)
         self.seen[(self.code >> np.uint64(48)).astype(np.int64)] = True
 
-    def _aligned(self, template: int, text: list[bytes], coded: np.ndarray, seeds: list[int], band: int) -> Iterator[tuple]:
+    def _rows(self, w: Words) -> dict[int, list[int]]:
+        """The templates of which a row has enough seeds, by row."""
+        codes = w.codes()
+        near = np.flatnonzero(self.seen[(codes >> np.uint64(48)).astype(np.int64)])
+        at = np.searchsorted(self.code, codes[near])
+        hit = np.flatnonzero(at < len(self.code))
+        hit = hit[self.code[at[hit]] == codes[near[hit]]]
+        row = np.searchsorted(w.first, near[hit], "right") - 1
+        pairs = np.unique(row * max(len(self.code), 1) + at[hit])  # a word of a row, once
+        row, word = np.divmod(pairs, max(len(self.code), 1))
+        n = self.first[word + 1] - self.first[word]
+        entry = np.repeat(self.first[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        keys, group = np.unique(np.repeat(row, n) * len(self.names) + self.owner[entry], return_inverse=True)
+        total = np.bincount(group, weights=self.places[entry], minlength=len(keys))
+        out: dict[int, list[int]] = {}
+        for key in keys[total >= self.least[keys % max(len(self.names), 1)]].tolist():
+            out.setdefault(key // len(self.names), []).append(key % len(self.names))
+        return out
+
+    def _aligned(self, template: int, text: list[bytes], coded: np.ndarray, band: int) -> Iterator[tuple]:
         """(matched, first word, end word) at every shift that reaches the coverage."""
-        words, need = self.words[template], self.need[template]
+        words, need, least = self.words[template], self.need[template], int(self.least[template])
         near = min(band, max(len(words) // 2, 1))
         step = max(CELLS // len(words), 1)
+        diagonals = [(np.flatnonzero(coded == w)[:, None] - places).ravel() for w, places in self.seeds[template].items()]
+        diagonals = np.sort(np.concatenate(diagonals))
+        i = np.arange(max(len(diagonals) - least + 1, 0))
+        i = i[diagonals[i + least - 1] - diagonals[i] <= 2 * near]
         done = -len(words) - near  # shifts up to here are done
-        for d in sorted(seeds):
-            lo, hi = max(d - near, done + 1), d + near
+        for lo, hi in zip((diagonals[i + least - 1] - near).tolist(), (diagonals[i] + near).tolist()):
+            lo = max(lo, done + 1)
             for a in range(lo, hi + 1, step):
                 b = min(a + step - 1, hi)
                 found, whole = reach(self.coded[template], coded, a, b, near)
@@ -159,22 +213,13 @@ class TemplateIndex:
                     matched, first, end = align(words, text, a + int(k), near)
                     if matched >= need:
                         yield matched, first, end
-            done = hi
+            done = max(done, hi)
 
     def scan(self, part: pa.RecordBatch, band: int) -> Iterator[tuple]:
         """(row, template, matched, first word, end word, first byte, end byte)."""
         column = part.column("text")
         w = words_of(column, _BREAKS, lower=True)
-        codes = w.codes()
-        near = np.flatnonzero(self.seen[(codes >> np.uint64(48)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.code, codes[near], "left"), np.searchsorted(self.code, codes[near], "right")
-        hit = hi > lo
-        near, lo, hi = near[hit], lo[hit], hi[hit]
-        row = np.searchsorted(w.first, near, "right") - 1
-        hits: dict[int, dict[int, set[int]]] = {}
-        for r, j, a, b in zip(row.tolist(), (near - w.first[row]).tolist(), lo.tolist(), hi.tolist()):
-            for k in range(a, b):
-                hits.setdefault(r, {}).setdefault(int(self.owner[k]), set()).add(j - int(self.word[k]))
+        hits = self._rows(w)
         rows = set(hits)
         if self.whole:
             rows.update(range(part.num_rows))
@@ -184,8 +229,8 @@ class TemplateIndex:
             text = [w.buf[a + starts[r]:b + starts[r]].tobytes() for a, b in zip(start, end)]
             coded = np.array([self.ids.get(x, -1) for x in text], np.int64)
             found: dict[int, set[tuple[int, int, int]]] = {}
-            for template, seeds in hits.get(r, {}).items():
-                found[template] = set(self._aligned(template, text, coded, list(seeds), band))
+            for template in hits.get(r, []):
+                found[template] = set(self._aligned(template, text, coded, band))
             for template, whole in self.whole.items():
                 n = len(whole)
                 found[template] = {(n, i, i + n) for i in range(len(text) - n + 1) if text[i:i + n] == whole}
@@ -238,5 +283,5 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
-    """Licence notices in ``documents``."""
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Licence notices and whole licences in ``documents``."""
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), {**TEMPLATES, **NOTICES, **full_texts()})

@@ -169,7 +169,7 @@ def test_licence_scan_finds_every_notice_with_one_word_changed(spark):
     rng = random.Random(6)
     filler = lambda: [rng.choice(["alpha", "the", "license", "under", "of", "software"]) for _ in range(rng.randint(0, 9))]
     docs, meant = [], []
-    for name, notice in licenses.TEMPLATES.items():
+    for name, notice in {**licenses.TEMPLATES, **licenses.NOTICES}.items():
         words = re.findall("[a-z0-9]+", notice.lower())
         changes = [words]
         for i in range(len(words)):
@@ -180,7 +180,8 @@ def test_licence_scan_finds_every_notice_with_one_word_changed(spark):
             assert matched >= len(words) - 1
             meant.append((len(docs), name, matched))
             docs.append((len(docs), " ".join(text)))
-    got = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    templates = {**licenses.TEMPLATES, **licenses.NOTICES}
+    got = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), templates).collect()
     assert set(meant) <= {(r["doc_id"], r["license"], r["matched_words"]) for r in got}
 
 
@@ -212,6 +213,20 @@ def test_licence_scan_equals_an_alignment_at_every_shift(spark):
     assert sorted(got) == sorted(meant)
 
 
+def test_licence_query_finds_whole_licences(spark, tmp_path):
+    texts = licenses.full_texts()
+    assert {"Apache-2.0-text", "GPL-3-text", "LGPL-3-text", "MPL-2.0-text", "CC0-1.0-text"} <= set(texts)
+    docs = [(i, f"alpha beta\n{t}\ngamma") for i, (_n, t) in enumerate(sorted(texts.items()))]
+    words = texts["Apache-2.0-text"].split()
+    del words[700]
+    docs += [(100, " ".join(words)), (101, licenses.NOTICES["AGPL-notice"]), (102, licenses.NOTICES["ISC-grant"])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["license"], r["coverage"]) for r in licenses.op4_license_scan(spark, str(tmp_path)).collect()}
+    assert {(i, n, 1.0) for i, n in enumerate(sorted(texts))} <= got
+    assert any(i == 100 and n == "Apache-2.0-text" and 0.99 < c < 1 for i, n, c in got)
+    assert {(101, "AGPL-notice", 1.0), (102, "ISC-grant", 1.0)} <= got
+
+
 def test_alignment_against_full_table():
     rng = random.Random(4)
     for _ in range(40):
