@@ -18,7 +18,7 @@ against all rows, in blocks.
 
 Defined cases: vectors that are null, empty, zero, of another length than most rows',
 or that hold null or non-finite components take no part, nor do null ids; rows that share
-an id and vector are one; ties go to the smaller id; a table without queries
+an id and vector are one, rows that share an id only are compared each; ties go to the smaller id; a table without queries
 gives an empty result.
 """
 
@@ -209,13 +209,15 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             x = _matrix(right.column("v"), dimension)
             order = np.lexsort((ids, part, key, t))
             t, key, part, ids, x = t[order], key[order], part[order], ids[order], x[order]
+            number = row_numbers(ids, x)
             new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
             where = {(int(t[a]), int(key[a]), int(part[a])): (a, z) for a, z in zip(new, np.append(new[1:], len(t)))}
             for query, raw, visits in zip(left.column("query_id").to_pylist(), left.column("v").to_pylist(), left.column("visits").to_pylist()):
                 spans = [where[b] for v in visits if (b := (v["t"], v["key"], v["part"])) in where]
                 if spans:
                     take = np.concatenate([np.arange(a, z) for a, z in spans])
-                    found, d = nearest(*_once(ids[take], x[take]), query, np.frombuffer(raw, np.float64), k)
+                    take = take[np.unique(number[take], return_index=True)[1]]  # several tables may give a candidate
+                    found, d = nearest(ids[take], x[take], query, np.frombuffer(raw, np.float64), k)
                     out += zip([query] * len(found), found.tolist(), d.tolist())
         return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()),
                          "score": pa.array([o[2] for o in out], pa.float64())})
@@ -230,10 +232,12 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _once(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates that several tables gave, once."""
-    _, first = np.unique(ids, return_index=True)
-    return (ids, x) if len(first) == len(ids) else (ids[first], x[first])
+def row_numbers(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """One number for each id and vector: rows that share both are one, rows that share an id only are not."""
+    if not len(ids):
+        return np.zeros(0, np.int64)
+    row = np.column_stack([np.ascontiguousarray(ids, np.int64).view(np.float64), x])
+    return np.unique(row.view(np.dtype((np.void, row.itemsize * row.shape[1]))).ravel(), return_inverse=True)[1].ravel()
 
 
 def _exact(base: DataFrame, asked: DataFrame, dimension: int, k: int, schema: str) -> DataFrame:

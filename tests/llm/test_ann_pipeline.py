@@ -59,6 +59,23 @@ def test_vector_edge_rows(spark):
     assert ann.neighbours(v, v.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_only_are_each_compared(spark):
+    ids, x = np.array([3, 3, 1, 3, 3]), np.array([[9.0, 9.0], [1.0, 0.0], [2.0, 0.0], [9.0, 9.0], [1.0, 0.0]])
+    n = ann.row_numbers(ids, x).tolist()
+    assert n[0] == n[3] and n[1] == n[4] and len(set(n)) == 3
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rng.normal(0, 1, 2)]) for i in range(300)]
+    rows += [(i, [v + 0.05 for v in e]) for i, e in rows if i % 100]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = v.where("vec_id % 100 = 0")
+    got = {(r["query_id"], r["vec_id"], round(r["score"], 9)) for r in ann.neighbours(v, asked).collect()}
+    hit = 0
+    for q, e in ((i, e) for i, e in rows if i % 100 == 0):
+        best = sorted((float(np.sqrt(((np.array(w) - e) ** 2).sum())), i) for i, w in rows if i != q)[:10]
+        hit += len({(q, i, round(d, 9)) for d, i in best} & got)
+    assert hit >= 27
+
+
 def test_pipeline_against_brute_force(spark):
     """Every stage against a plain version on the stage's own input."""
     from tests.llm.test_dedup import brute_substring
