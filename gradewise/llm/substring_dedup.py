@@ -7,8 +7,9 @@ prefixes over the whole corpus give each suffix the shortest prefix whose
 suffixes fit in memory, and prefixes are gathered into groups of equal size.
 A group is one task: its suffixes are sorted, neighbours with equal codes hang
 below the same internal node of depth ``window``, and such a node's
-leaves in other documents than the smallest are repeats.  Runs of adjoining
-repeats are the maximal repeated passages of a document.
+leaves in other documents than the smallest are repeats.  Codes are hashes of whole
+windows, so there are no other nodes: spans are runs of words that repeats cover,
+and a run may join passages of different documents.
 
 A prefix that is too frequent even at full depth (one passage in a third of
 all documents) is dealt to several tasks by document; each keeps one
@@ -303,7 +304,7 @@ def _spans(places: np.ndarray, window: int) -> np.ndarray:
 def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True,
                     group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
     """The columns of ``docs`` plus ``n_words, n_removed, kept_sha256, spans``
-    (word ranges removed: the maximal repeats) and, with ``with_text``, a new
+    (word ranges removed: runs of words that repeats cover) and, with ``with_text``, a new
     ``text`` (kept words joined by one space where words were removed, else
     the text as it was).  Columns of ``docs`` with these names are replaced."""
     added = ("n_words", "n_removed", "kept_sha256", "spans")
