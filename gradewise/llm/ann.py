@@ -13,8 +13,9 @@ The scale (the distance of a k-th neighbour) is fitted on ``SAMPLE`` rows at
 most, where it is larger than among all rows, so the search errs towards more
 probes.  Buckets over ``BUCKET`` rows are divided by row, and a query visits
 every part.  Of identical vectors the k + 1 smallest ids can ever be in a result, so
-more are not indexed.  Queries left with fewer than k neighbours are searched
-against all rows, in blocks.
+more are not indexed.  Queries whose k-th found neighbour is farther than the scale probe
+again at that distance; those left with fewer than k neighbours, or with one farther than
+``WIDER`` scales, are searched against all rows, in blocks.
 
 Defined cases: vectors that are null, empty, zero, of another length than most rows',
 or that hold null or non-finite components take no part, nor do null ids; rows that share
@@ -40,6 +41,7 @@ HASHES = 4
 REACH = 4  # slot offsets on either side that a probe may have
 WIDTH = 1.0  # slot width in neighbour distances
 RECALL = 0.97
+WIDER = 2.0  # times the fitted distance that probes reach; queries with farther neighbours are searched exactly
 SAMPLE = 2_000
 BUCKET = 50_000
 QUERY_BLOCK = 2_048
@@ -74,12 +76,13 @@ class Hashes:
         slots = np.floor(self.project(x)).reshape(len(x), TABLES, HASHES)
         return self.key(slots)
 
-    def probes(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(table, bucket keys in order of estimated success) of one query."""
+    def probes(self, x: np.ndarray, distance: float) -> Iterator[tuple[int, np.ndarray]]:
+        """(table, bucket keys in order of estimated success) of one query whose
+        neighbours are ``distance`` away."""
         place = self.project(x[None, :]).reshape(TABLES, HASHES)
         slot = np.floor(place)
         edge = np.arange(-REACH, REACH + 2)[None, None, :] + (slot - place)[:, :, None]
-        below = 0.5 * (1 + _NORMAL(edge * WIDTH / math.sqrt(2)))
+        below = 0.5 * (1 + _NORMAL(edge * self.width / (distance * math.sqrt(2))))
         chance = np.log(np.maximum(np.diff(below, axis=2), 1e-300))  # table x hash x offset
         for t in range(TABLES):
             total = sum(chance[t, h][self.moves[:, h] + REACH] for h in range(HASHES))
@@ -176,8 +179,9 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         for batch in batches:
             for part in (batch.slice(at, 64) for at in range(0, batch.num_rows, 64)):
                 t, key, query, v = [], [], [], []
-                for i, q, raw in zip(part.column("vec_id").to_pylist(), _matrix(part.column("v"), dimension), part.column("v").to_pylist()):
-                    for table, keys in hashes.probes(q):
+                for i, q, raw, d in zip(part.column("vec_id").to_pylist(), _matrix(part.column("v"), dimension), part.column("v").to_pylist(),
+                                        part.column("d").to_pylist()):
+                    for table, keys in hashes.probes(q, d):
                         t += [table] * len(keys)
                         key += keys.tolist()
                         query += [i] * len(keys)
@@ -186,22 +190,15 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                                                   pa.array(v, pa.binary())], ["t", "key", "query_id", "v"])
 
     index = written(base.mapInArrow(store, "t int, key long, vec_id long, v binary"), "ann-index")
-    asks = asked.mapInArrow(probe, "t int, key long, query_id long, v binary")
     sizes = index.groupBy("t", "key").agg(F.count("*").alias("n")).select("t", "key", F.ceil(F.col("n") / BUCKET).alias("parts"))
     large = sizes.where("parts > 1")
     if large.limit(1).count():
         large = written(large, "ann-large")
         index = (index.join(large, ["t", "key"], "left")
                  .withColumn("part", F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1)))).drop("parts"))
-        asks = (asks.join(large, ["t", "key"], "left")
-                .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts"))
     else:
-        index, asks = index.withColumn("part", F.lit(0).cast("long")), asks.withColumn("part", F.lit(0).cast("long"))
+        large, index = None, index.withColumn("part", F.lit(0).cast("long"))
     group = F.pmod(F.xxhash64("t", "key", "part"), F.lit(groups))
-    # a query's vector goes once to each group, with the buckets it visits there
-    asks = (asks.withColumn("g", group).groupBy("g", "query_id", "v")
-            .agg(F.collect_list(F.struct("t", "key", "part")).alias("visits")))
-
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[int, int, float]] = []
         if left.num_rows and right.num_rows:
@@ -222,12 +219,30 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()),
                          "score": pa.array([o[2] for o in out], pa.float64())})
 
-    found = written(asks.groupBy("g").cogroup(index.withColumn("g", group).groupBy("g")).applyInArrow(search, schema), "ann-found")
-    found = found.distinct()
+    def visited(queries: DataFrame) -> DataFrame:
+        asks = queries.mapInArrow(probe, "t int, key long, query_id long, v binary")
+        if large is None:
+            asks = asks.withColumn("part", F.lit(0).cast("long"))
+        else:
+            asks = (asks.join(large, ["t", "key"], "left")
+                    .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts"))
+        # a query's vector goes once to each group, with the buckets it visits there
+        asks = (asks.withColumn("g", group).groupBy("g", "query_id", "v")
+                .agg(F.collect_list(F.struct("t", "key", "part")).alias("visits")))
+        return written(asks.groupBy("g").cogroup(index.withColumn("g", group).groupBy("g")).applyInArrow(search, schema), "ann-found")
+
+    found = visited(asked.withColumn("d", F.lit(hashes.distance))).distinct()
     need = min(k, max(total - 1, 0))
-    short = (asked.join(found.groupBy("query_id").agg(F.count("*").alias("n")), F.col("vec_id") == F.col("query_id"), "left")
-             .where(F.coalesce("n", F.lit(0)) < need).select("vec_id", "v"))
-    found = found.unionByName(_exact(base, written(short, "ann-short"), dimension, k, schema)).distinct()
+    # where the k-th found is farther than the fitted distance, fewer buckets were visited than RECALL needs
+    kth = found.groupBy("query_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("score")).alias("scores"))
+    state = written(asked.join(kth, F.col("vec_id") == F.col("query_id"), "left")
+                    .select("vec_id", "v", (F.coalesce("n", F.lit(0)) < need).alias("few"), F.get("scores", F.lit(max(need - 1, 0))).alias("d")), "ann-state")
+    limit = WIDER * hashes.distance
+    far = state.where(~F.col("few") & (F.col("d") > hashes.distance) & (F.col("d") <= limit)).select("vec_id", "v", "d")
+    if far.limit(1).count():
+        found = found.unionByName(visited(far))
+    short = state.where(F.col("few") | (F.col("d") > limit)).select("vec_id", "v")
+    found = found.unionByName(_exact(base, short, dimension, k, schema)).distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -6,6 +6,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
@@ -76,6 +77,17 @@ def test_rows_that_share_an_id_only_are_each_compared(spark):
     assert hit >= 27
 
 
+def test_recall_of_queries_in_sparse_regions(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(0, 0.1, (3000, 8)) + 5, rng.normal(0, 0.25, (400, 8)) - 5, rng.normal(0, 2, (400, 8))])
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = list(range(3000, 3800, 20))
+    got = ann.neighbours(v, v.where(F.col("vec_id").isin(asked))).select("query_id", "vec_id").collect()
+    found = {(r["query_id"], r["vec_id"]) for r in got}
+    hit = sum((q, i) in found for q in asked for i, _d in brute_neighbours(list(range(len(x))), x, q, 10))
+    assert hit >= 0.96 * 10 * len(asked)
+
+
 def test_pipeline_against_brute_force(spark):
     """Every stage against a plain version on the stage's own input."""
     from tests.llm.test_dedup import brute_substring
