@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gradewise.llm import (
     ann,
+    byte_bpe,
     decontaminate,
     licenses,
     packing,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_packing": packing.op10_token_packing,
+    "op12_byte_bpe": byte_bpe.op12_byte_bpe,
 }
 
 ORACLES = {
