@@ -26,9 +26,15 @@ class Forward:
         self.after: dict[str, dict[str, bool]] = {p: {} for p in every_piece if len(p) > 1}
         self.known = 0
         self.reach: dict[str, int] = {}  # the longest piece that ends in these three characters
+        sizes: dict[str, set[int]] = {}
         for p in every_piece:
             if len(p) > 2:
-                self.reach[p[-3:]] = max(self.reach.get(p[-3:], 1), len(p))
+                sizes.setdefault(p[-3:], set()).add(len(p))
+        #: lengths over 1, longest first, of the pieces that end in these three characters
+        self.sizes: dict[str, tuple[int, ...]] = {}
+        for end, found in sizes.items():
+            self.reach[end] = max(found)
+            self.sizes[end] = (*sorted(found, reverse=True), *((2,) if end[1:] in self.after else ()))
 
     @staticmethod
     def symbols(text: str) -> list[str]:
@@ -68,7 +74,8 @@ class Forward:
     def fill(self, text: str, starts: list[int], done: int) -> None:
         """``starts[i]``: where the last token of ``text[:i]`` begins, for the
         prefixes longer than ``done``, given those up to it."""
-        after, reach, size = self.after, self.reach, len(text)
+        after, sizes, size = self.after, self.sizes.get, len(text)
+        two = (2,)  # no longer piece ends here
         marked = text.endswith(END)
         for i in range(done + 1, size + 1):
             least = 1
@@ -77,10 +84,12 @@ class Forward:
                     continue  # the last character has no token without the word's end
                 least = 2
             at = i - least  # a single symbol, in the vocabulary or not
-            longest = reach.get(text[i - 3:i]) if i > 2 else None
-            if longest is None:
-                longest = 2  # no longer piece ends here
-            for j in range(i - longest if longest < i else 0, at):
+            for n in sizes(text[i - 3:i], two) if i > 2 else two:
+                j = i - n
+                if j < 0:
+                    continue
+                if n <= least:
+                    break
                 token = text[j:i]
                 known = after.get(token)
                 if known is not None:
