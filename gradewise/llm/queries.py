@@ -5,6 +5,7 @@ from __future__ import annotations
 from gradewise.llm import (
     ann,
     byte_bpe,
+    conversations,
     decontaminate,
     licenses,
     packing,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_packing": packing.op10_token_packing,
     "op12_byte_bpe": byte_bpe.op12_byte_bpe,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 
 ORACLES = {
