@@ -27,8 +27,10 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 from os.path import commonprefix
 
 import numpy as np
@@ -42,7 +44,7 @@ from gradewise.llm.words import blocks
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-MEMO = 300_000
+MEMO = 450_000
 
 
 class Codec:
@@ -72,7 +74,7 @@ class Codec:
             raise ValueError("a piece spans words")
         inner = "".join(map(re.escape, joint))
         self.words = re.compile(f"{MARK}+[{inner}]*|[{inner}]+|[^{inner}{MARK}]").findall
-        self.dtype = np.uint16 if size <= 1 << 16 else np.int32  # of remembered and packed ids
+        self.dtype, self.code = (np.uint16, "H") if size <= 1 << 16 else (np.int32, "i")  # of remembered and packed ids
         self.inside = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.memo: dict[str, bytes] = {}  # words
         self.older: dict[str, bytes] = {}  # what was there before the table was begun anew
@@ -98,16 +100,16 @@ class Codec:
         return at
 
     def _ids(self, word: str, starts: list[int]) -> bytes:
-        out: list[int] = []
-        for piece in self.forward.tokens(word, starts):
-            i = self.ids.get(piece)
-            out += [i] if i is not None else [self.byte_ids[b] for b in piece.encode()]
-        return np.array(out, self.dtype).tobytes()
+        pieces, ids = self.forward.tokens(word, starts), self.ids
+        try:
+            return array(self.code, [ids[p] for p in pieces]).tobytes()
+        except KeyError:  # a character outside the vocabulary
+            return array(self.code, [i for p in pieces for i in ([ids[p]] if p in ids else [self.byte_ids[b] for b in p.encode()])]).tobytes()
 
     def _cut(self, word: str) -> list[str]:
         """Parts of a word between whose border characters no piece reaches."""
         inside = self.inside
-        at = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in inside]
+        at = [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair not in inside]
         return [word[i:j] for i, j in zip([0, *at], [*at, len(word)])] if at else [word]
 
     def learn(self, words: set[str]) -> None:
