@@ -29,6 +29,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -67,7 +68,8 @@ class Codec:
         self.forward = Forward(own, list(own), lambda a, b: get(a + b))
         self.split = regex.compile(pattern, regex.V0).findall
         size = max(own.values()) + 1
-        self.dtype = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
+        self.code = "H" if size <= 1 << 16 else "I"
+        self.dtype = np.dtype(self.code)
         by_id = [b""] * size
         for token, i in self.ranks.items():
             by_id[i] = token
@@ -83,7 +85,7 @@ class Codec:
     def packed(self, match: str, starts: list[int]) -> bytes:
         """The ids of a match (bytes as characters) from its table."""
         ids = self.ids
-        return np.array([ids[t] for t in self.forward.tokens(match, starts)], self.dtype).tobytes()
+        return array(self.code, [ids[t] for t in self.forward.tokens(match, starts)]).tobytes()
 
     # ------------------------------------------------------------ many texts
 
