@@ -5,6 +5,7 @@ from __future__ import annotations
 from gradewise.llm import (
     ann,
     byte_bpe,
+    collocations,
     conversations,
     decontaminate,
     licenses,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_packing": packing.op10_token_packing,
+    "op11_collocations": collocations.op11_collocations,
     "op12_byte_bpe": byte_bpe.op12_byte_bpe,
     "op13_conversation_repair": conversations.op13_conversation_repair,
 }
@@ -35,4 +37,5 @@ QUERIES = {
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE,
     "op8_benchmark_decontamination": decontaminate.ORACLE,
+    "op11_collocations": collocations.ORACLE,
 }
