@@ -1,13 +1,10 @@
 """Model training and scoring on Spark ML.
 
-Training is distributed by Spark ML itself (tree histograms, MLP gradient
-sums and L-BFGS steps are aggregations over partitions); the driver only
-holds the model.  Features come from the encoders (scaled, train-fitted)
-and are assembled into one vector column.
+Training is distributed by Spark ML itself (tree histograms are aggregations
+over partitions); the driver only holds the model.  Features come from the
+encoders (scaled, train-fitted) and are assembled into one vector column.
 
 Differences from the reference's single-machine stack, by necessity:
-MultilayerPerceptronClassifier has sigmoid hidden units, no dropout and no
-per-row weights (class weighting is deterministic row replication);
 ``max_depth=None`` maps to a finite depth; boosted trees are binary, so
 multiclass boosting is one-vs-rest.
 """
@@ -20,7 +17,6 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     FMClassifier,
     GBTClassifier,
-    MultilayerPerceptronClassifier,
     OneVsRest,
     RandomForestClassifier,
 )
@@ -63,14 +59,6 @@ def random_forest(p: RFParams, weight_col: str | None = None) -> RandomForestCla
     return rf
 
 
-def mlp(n_features: int, hidden: list[int], n_classes: int, max_iter: int = 30, step: float = 0.03,
-        block: int = 128, seed: int = 42) -> MultilayerPerceptronClassifier:
-    return MultilayerPerceptronClassifier(
-        featuresCol=FEATURES, labelCol=LABEL, layers=[n_features, *hidden, n_classes],
-        maxIter=max_iter, stepSize=step, blockSize=block, seed=seed, solver="l-bfgs",
-    )
-
-
 def gbt_ovr(max_iter: int = 20, max_depth: int = 5, seed: int = 42) -> OneVsRest:
     return OneVsRest(classifier=GBTClassifier(maxIter=max_iter, maxDepth=max_depth, seed=seed),
                      featuresCol=FEATURES, labelCol=LABEL, parallelism=4)

@@ -1,22 +1,26 @@
 """Model-backed queries (rows-only check: model output has no SQL twin).
 
 All read the student stand-in (or the embeddings table), split it with the
-exact stratified split, encode with train-fitted encoders and train Spark ML
-models.  ``encoding_benchmark``, the networks (single, variants, weighted, SMOTE) and the
-scenario and feature-set benchmarks train the published networks and search the
-published axes and take hours; sizes of other queries fit a test run at sf0.01.
+exact stratified split, encode with train-fitted encoders and train forests of
+Spark ML or the perceptrons of ``operators.perceptron``.  Searches take
+their axes as an argument: the ``FULL_`` ones are the published ones, the
+defaults fit a test run at sf0.01 (README gives measured times).
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewise.functions.features import BASE_COLUMNS, FEATURE_SETS, derived
 from gradewise.operators import encode as enc
+from gradewise.operators import forests
 from gradewise.operators import models as M
 from gradewise.operators import neighbors as _neighbors
+from gradewise.operators import perceptron as nets
 from gradewise.operators import prefix as _prefix
 from gradewise.operators import resample as _resample
 from gradewise.operators import split as _split_rows
@@ -24,11 +28,11 @@ from gradewise.operators.embeddings import embedding_dims
 from gradewise.operators.metrics import confusion_cells
 from gradewise.operators.resample import class_weights, smote, weight_column
 from gradewise.operators.separability import pca
-from gradewise.operators.tune import fit_stopping_early, grid, legs, search, search_stopping_early
+from gradewise.operators.tune import grid
 from gradewise.plans.queries import split_table, student_inputs
 from gradewise.roles import NO_GPA_ROLES, STUDENT_ROLES, Roles
 from gradewise.sources import standin as _standin
-from gradewise.sources.materialize import materialized
+from gradewise.sources.materialize import fingerprint, materialized
 
 R = STUDENT_ROLES
 N_CLASSES = 5
@@ -36,10 +40,21 @@ _MEMO: dict = {}
 
 
 def _memo(spark: SparkSession, key: tuple, build):
-    k = (spark.sparkContext.applicationId, *key)
-    if k not in _MEMO:
-        _MEMO[k] = build()
-    return _MEMO[k]
+    """``build()`` once per application, ``key`` (which begins with the data's
+    folder) and state of the input files; what an older state gave is let go."""
+    k, state = (spark.sparkContext.applicationId, *key), fingerprint(spark, student_inputs(key[0]))
+    if k not in _MEMO or _MEMO[k][0] != state:
+        if k in _MEMO:
+            for part in _parts(_MEMO.pop(k)[1]):
+                part.unpersist()
+        _MEMO[k] = state, build()
+    return _MEMO[k][1]
+
+
+def _parts(value) -> list[DataFrame]:
+    """The DataFrames of a remembered value."""
+    values = value if isinstance(value, tuple) else (value,)
+    return [v for v in values if isinstance(v, DataFrame)]
 
 
 def split_frame(spark, sf_dir, roles: Roles = R) -> DataFrame:
@@ -115,19 +130,19 @@ FULL_RF_GRID = {
     "min_instances": [1, 2, 4],
     "num_trees": [200, 400, 700],
 }
-RF_GRID = {"class_weight": ["balanced", None], "min_instances": [1, 2], "num_trees": [20, 50]}
+RF_GRID = {"class_weight": ["balanced", None], "min_instances": [1, 2, 4], "num_trees": [20, 50]}
+TUNED_RF_GRID = {"class_weight": ["balanced", None], "min_instances": [2], "num_trees": [20, 50]}  # per row of a benchmark
 
 
-def _forest(cfg: dict):
-    return M.random_forest(M.RFParams(num_trees=cfg["num_trees"], max_depth=cfg.get("max_depth", 10) or 30,
-                                      min_instances=cfg["min_instances"], class_weight=cfg["class_weight"]),
-                           weight_col="w")
+def _forest_params(cfg: dict) -> M.RFParams:
+    return M.RFParams(num_trees=cfg["num_trees"], max_depth=cfg.get("max_depth", 10) or 30,
+                      min_instances=cfg["min_instances"], class_weight=cfg["class_weight"])
 
 
-def _tuned_forest(train: DataFrame, val: DataFrame):
-    """The best forest of the published axes; ``train`` has ``_y``."""
-    _rows, _best, model = search(grid(FULL_RF_GRID), _forest, _with_weights(train, train), val)
-    return model
+def _tuned_forest(train: DataFrame, val: DataFrame, axes: dict = TUNED_RF_GRID) -> forests.Forest:
+    """The best forest of ``axes``; ``train`` has ``_y``."""
+    _rows, _best, forest = forests.search(grid(axes), _forest_params, _with_weights(train, train), val, "w")
+    return forest
 
 
 def _rf_search(spark, sf_dir, axes: dict = RF_GRID):
@@ -136,9 +151,8 @@ def _rf_search(spark, sf_dir, axes: dict = RF_GRID):
         a, _cols = prepared(spark, sf_dir, R, "label", scale=False)
         a = _weighted(a)
         cfgs = grid(axes)
-
-        rows, best, _model = search(cfgs, _forest, _split(a, "train"), _split(a, "val"))
-        return rows, best, cfgs, _forest, a
+        rows, best, _forest = forests.search(cfgs, _forest_params, _split(a, "train"), _split(a, "val"), "w")
+        return rows, best, cfgs, a
     return _memo(spark, (sf_dir, "rf_search", repr(axes)), build)
 
 
@@ -154,57 +168,62 @@ def q_grid_search_rf(spark, sf_dir):
 
 def q_model_rf_refit(spark, sf_dir):
     """Winner refitted on train + val; confusion counts on test."""
-    rows, best, cfgs, make, a = _rf_search(spark, sf_dir)
-    model = M.fit(make(cfgs[best]), a.filter(F.col("split") != "test"))
+    _rows, best, cfgs, a = _rf_search(spark, sf_dir)
+    model = M.fit(M.random_forest(_forest_params(cfgs[best]), "w"), a.filter(F.col("split") != "test"))
     pred = model.transform(_split(a, "test")).select(F.col("_y").alias("label"), F.col("prediction").cast("int").alias("prediction"))
     return confusion_cells(pred, "label", "prediction")
 
 
 # ------------------------------------------------------------------ MLP
 
-# The exam network and its greatest number of epochs.
-EXAM_NET = [200, 200, 150, 200]
+# The exam network, its epochs without a search, and the patience.
+EXAM_NET = (200, 200, 150, 200)
 MAX_EPOCHS = 150
-EXAM_EPOCHS, EXAM_BATCH = 50, 32  # of the exam network without a search
-# Iterations between validation losses, and how many of them may be no lower (the reference's patience is 15 epochs).
-# L-BFGS begins anew after each: with legs of 5 the exam net learns only the largest class in 50 iterations.
-LEG, PATIENCE = 25, 1
-# Trained until the validation loss no longer falls; the exam net takes ten times as long.
-STOPPED_NET = [128, 64]
+EXAM = nets.Net(EXAM_NET, optimizer="adam", learning_rate=1e-3, batch_size=32, epochs=50, dropout=0.2, patience=15)
+
+# The published axes: of the searches, with class weights, and with SMOTE.
+FULL_MLP_GRID = {
+    "batch_size": [32, 64, 128],
+    "epochs": [50, 100, 150],
+    "learning_rate": [1e-4, 5e-4, 1e-3],
+    "optimizer": ["adam", "rmsprop", "sgd"],
+}
+FULL_WEIGHTED_MLP_GRID = {"batch_size": [32, 64], "epochs": [50, 100], "learning_rate": [5e-4, 1e-3], "optimizer": ["adam", "sgd"]}
+FULL_SMOTE_MLP_GRID = {"batch_size": [32, 64], "epochs": [100, 150], "learning_rate": [1e-3], "optimizer": ["adam", "sgd"]}
+# What the registered queries search.
+MLP_GRID = {"batch_size": [64, 128], "epochs": [10, 20], "learning_rate": [1e-3], "optimizer": ["adam", "rmsprop", "sgd"]}
+TUNED_MLP_GRID = {"batch_size": [128], "epochs": [10, 20], "learning_rate": [1e-3], "optimizer": ["adam"]}
+VARIANT_MLP_GRID = {"batch_size": [128], "epochs": [15, 30], "learning_rate": [5e-4, 1e-3], "optimizer": ["adam"]}
+WEIGHTED_MLP_GRID = {"batch_size": [64], "epochs": [15, 30], "learning_rate": [5e-4, 1e-3], "optimizer": ["adam", "sgd"]}
+SMOTE_MLP_GRID = {"batch_size": [64], "epochs": [10, 20], "learning_rate": [1e-3], "optimizer": ["adam", "sgd"]}
+
+
+def _net(a: DataFrame, width: int, net: nets.Net):
+    return nets.fit(_split(a, "train"), _split(a, "val"), M.FEATURES, "_y", width, N_CLASSES, net)
 
 
 def _mlp_model(spark, sf_dir):
     def build():
         a, cols = prepared(spark, sf_dir, R, "onehot")
-        train, val = _split(a, "train").persist(), _split(a, "val").persist()
-        best, least, losses = None, None, []
-        for _done, model, leg, loss in legs(lambda n: M.mlp(len(cols), EXAM_NET, N_CLASSES, max_iter=n, block=EXAM_BATCH),
-                                            train, val, EXAM_EPOCHS, LEG, PATIENCE):
-            losses += leg[1:] if losses else leg  # a leg begins with the loss that the one before ended with
-            if best is None or loss < least:
-                best, least = model, loss
-        train.unpersist()
-        val.unpersist()
-        return best, a, losses
+        model, history = _net(a, len(cols), EXAM)
+        return model, a, history
     return _memo(spark, (sf_dir, "mlp"), build)
 
 
-def q_mlp_early_stopping(spark, sf_dir):
-    """A perceptron trained until the validation loss no longer falls: the
-    losses on the way and the leg whose weights are kept."""
-    _model, history = _stopped_mlp(spark, sf_dir)
-    least = min(h[2] for h in history)
-    kept = next(h[0] for h in history if h[2] == least)
-    return spark.createDataFrame([(n, a, b, n == kept) for n, a, b in history],
-                                 "iterations int, train_loss double, val_loss double, kept boolean")
-
-
-def _stopped_mlp(spark, sf_dir, net: list[int] = STOPPED_NET):
+def _stopped_mlp(spark, sf_dir):
     def build():
         a, cols = prepared(spark, sf_dir, R, "onehot")
-        return fit_stopping_early(lambda n: M.mlp(len(cols), net, N_CLASSES, max_iter=n),
-                                  _split(a, "train"), _split(a, "val"), max_iter=MAX_EPOCHS)
-    return _memo(spark, (sf_dir, "mlp_stopped", tuple(net)), build)
+        return _net(a, len(cols), replace(EXAM, batch_size=64, epochs=MAX_EPOCHS))
+    return _memo(spark, (sf_dir, "mlp_stopped"), build)
+
+
+def q_mlp_early_stopping(spark, sf_dir):
+    """The exam network trained until the validation loss was not lowered for
+    15 epochs: the losses of every epoch and the one whose weights are kept."""
+    _model, history = _stopped_mlp(spark, sf_dir)
+    kept = [e.number for e in history if e.theta is not None][-1]
+    return spark.createDataFrame([(e.number, e.train_loss, e.val_loss, e.number == kept) for e in history],
+                                 "epoch int, train_loss double, val_loss double, kept boolean")
 
 
 def q_model_mlp_stopped(spark, sf_dir):
@@ -214,116 +233,80 @@ def q_model_mlp_stopped(spark, sf_dir):
 
 
 def q_model_mlp(spark, sf_dir):
-    model, a, _losses = _mlp_model(spark, sf_dir)
+    model, a, _history = _mlp_model(spark, sf_dir)
     return M.scored_metrics(model.transform(_split(a, "test")), "MLP Principal")
 
 
 def q_mlp_history(spark, sf_dir):
-    _model, _a, losses = _mlp_model(spark, sf_dir)
-    return spark.createDataFrame(list(enumerate(losses)), "iteration int, loss double")
-
-
-# MLP search axes mirroring the reference grid (optimizer, epochs, batch):
-# Spark's solvers, iteration budget and block size.
-MLP_GRID = {"block_size": [32, 128], "max_iter": [10, 30], "solver": ["l-bfgs", "gd"]}
-
-
-# The published axes as far as Spark has them: batch size is the block, epochs are iterations,
-# learning rates are the step of the "gd" solver.
-FULL_MLP_GRID = {
-    "block_size": [32, 64, 128],
-    "max_iter": [50, 100, 150],
-    "solver": ["l-bfgs", "gd"],
-    "step": [1e-4, 5e-4, 1e-3],
-}
+    """Loss and accuracy of every epoch of the exam network."""
+    _model, _a, history = _mlp_model(spark, sf_dir)
+    return spark.createDataFrame([(e.number, e.train_loss, e.val_loss, nets.scores(e.cells)["accuracy"]) for e in history],
+                                 "epoch int, loss double, val_loss double, val_accuracy double")
 
 
-# The exam's axes with class weights and with SMOTE.
-WEIGHTED_MLP_GRID = {"block_size": [32, 64], "max_iter": [50, 100], "solver": ["l-bfgs", "gd"], "step": [5e-4, 1e-3]}
-SMOTE_MLP_GRID = {"block_size": [32, 64], "max_iter": [100, 150], "solver": ["l-bfgs", "gd"], "step": [1e-3]}
-
-
-def _tuned_mlp(train: DataFrame, val: DataFrame, width: int, net: list[int] = EXAM_NET, axes: dict = FULL_MLP_GRID):
-    """The best network of ``axes``, each stopped on the validation loss."""
-    def make(cfg, n):
-        return M.mlp(width, net, N_CLASSES, max_iter=n, block=cfg["block_size"], step=cfg["step"]).setSolver(cfg["solver"])
-    _rows, _best, model = search_stopping_early(grid(axes), make, train, val, LEG, PATIENCE)
+def _tuned_mlp(train: DataFrame, val: DataFrame, width: int, axes: dict = TUNED_MLP_GRID, base: nets.Net = EXAM,
+               weight: str | None = None) -> nets.NetModel:
+    """The best network of ``axes``, each stopped on the validation loss; ``train`` has ``label_d``."""
+    _rows, _best, model = nets.search(train.withColumn("_y", F.col(M.LABEL).cast("int")), val, M.FEATURES, "_y", width, N_CLASSES,
+                                      base, grid(axes), weight)
     return model
 
 
 def q_grid_search_mlp(spark, sf_dir, axes: dict = MLP_GRID, net: tuple = (128, 64)):
     """Fixed-validation grid search of the MLP; the winner has the highest
-    unrounded val macro F1, ties (isclose) broken by lower val log-loss.
+    unrounded val macro F1, ties (isclose) broken by lower val loss.
     ``FULL_MLP_GRID`` with ``EXAM_NET`` is the published search."""
     a, cols = prepared(spark, sf_dir, R, "onehot")
-
-    def make(cfg):
-        m = M.mlp(len(cols), list(net), N_CLASSES, max_iter=cfg["max_iter"], block=cfg["block_size"],
-                  step=cfg.get("step", 0.03))
-        return m.setSolver(cfg["solver"])
-    cfgs = grid(axes)
-    rows, best, _model = search(cfgs, make, _split(a, "train"), _split(a, "val"), with_loss=True)
-    out = [(i, r["block_size"], r["max_iter"], r["solver"], round(r["val_accuracy"], 4), round(r["val_f1_macro"], 4),
-            round(r["val_recall_macro"], 4), round(r["val_loss"], 4), i == best) for i, r in enumerate(rows)]
-    df = spark.createDataFrame(out, "grid_index int, block_size int, max_iter int, solver string, val_accuracy double, "
-                                    "val_f1_macro double, val_recall_macro double, val_loss double, selected boolean")
+    rows, best, _model = nets.search(_split(a, "train"), _split(a, "val"), M.FEATURES, "_y", len(cols), N_CLASSES,
+                                     replace(EXAM, hidden=tuple(net)), grid(axes))
+    out = [(i, r["batch_size"], r["epochs"], r["learning_rate"], r["optimizer"], r["epochs_ran"], round(r["val_accuracy"], 4),
+            round(r["val_f1_macro"], 4), round(r["val_recall_macro"], 4), round(r["val_loss"], 4), i == best) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(out, "grid_index int, batch_size int, epochs int, learning_rate double, optimizer string, "
+                                    "epochs_ran int, val_accuracy double, val_f1_macro double, val_recall_macro double, "
+                                    "val_loss double, selected boolean")
     return df.orderBy(F.col("val_f1_macro").desc(), F.col("val_accuracy").desc(), "grid_index")
 
 
-def q_encoding_benchmark(spark, sf_dir):
+def q_encoding_benchmark(spark, sf_dir, axes: dict = TUNED_MLP_GRID):
     """The reference's per-encoding experiment: every categorical encoding
     (continuous block + encoded block, scaled on train) feeding the exam
     network, tuned per encoding; test metrics and input width per encoding."""
     out = None
     for kind in enc.ENCODERS:
         a, cols = prepared(spark, sf_dir, R, kind)
-        model = _tuned_mlp(_split(a, "train"), _split(a, "val"), len(cols))
+        model = _tuned_mlp(_split(a, "train"), _split(a, "val"), len(cols), axes)
         m = M.scored_metrics(model.transform(_split(a, "test")), kind).withColumn("n_features", F.lit(len(cols)))
         out = m if out is None else out.unionByName(m)
     return out.withColumnRenamed("model", "encoding")
 
 
-# Hidden-layer variants of the depth experiments.
-MLP_VARIANTS = {
-    "128-64": [128, 64],
-    "128-96-64": [128, 96, 64],
-    "128-96-64-32": [128, 96, 64, 32],
-    "160-128-96-64-32": [160, 128, 96, 64, 32],
-}
-
-
-# The feature set of each variant.
-MLP_VARIANT_FEATURES = {n: "v4" if n in ("128-96-64", "160-128-96-64-32") else "v1" for n in MLP_VARIANTS}
+# Hidden layers and feature set of the depth experiments.
+MLP_VARIANTS = [
+    ((128, 64), "v1"),
+    ((128, 96, 64), "v1"),
+    ((128, 96, 64, 32), "v1"),
+    ((128, 96, 64), "v4"),
+    ((160, 128, 96, 64, 32), "v4"),
+]
 
 
-def q_model_mlp_variants(spark, sf_dir):
+def q_model_mlp_variants(spark, sf_dir, axes: dict = VARIANT_MLP_GRID):
     out = None
-    for name, hidden in MLP_VARIANTS.items():
-        features = MLP_VARIANT_FEATURES[name]
+    for hidden, features in MLP_VARIANTS:
         a, cols = prepared(spark, sf_dir, feature_set_roles(features), "label",
                            frame=feature_set_frame(spark, sf_dir, features))
-        model = _tuned_mlp(_split(a, "train"), _split(a, "val"), len(cols), hidden)
+        model = _tuned_mlp(_split(a, "train"), _split(a, "val"), len(cols), axes, replace(EXAM, hidden=hidden))
+        name = "-".join(map(str, hidden))
         m = M.scored_metrics(model.transform(_split(a, "test")), f"MLP {name}, {features}")
         out = m if out is None else out.unionByName(m)
     return out
 
 
-def replicate_by_weight(df: DataFrame, weight: str, key: str, seed: int = 42) -> DataFrame:
-    """Deterministic weighted replication (MLP has no weightCol): floor(w)
-    copies plus one more when hash(key) falls under the fractional part."""
-    frac = F.col(weight) - F.floor(weight)
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    u = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") / float(1 << 32)
-    copies = (F.floor(weight) + F.when(u < frac, 1).otherwise(0)).cast("int")
-    return df.withColumn("_copies", copies).filter(F.col("_copies") > 0).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy")
-
-
-def q_model_mlp_weighted(spark, sf_dir):
+def q_model_mlp_weighted(spark, sf_dir, axes: dict = WEIGHTED_MLP_GRID):
+    """Class weights as row weights of the loss; the rate is halved on plateaus."""
     a, cols = prepared(spark, sf_dir, NO_GPA_ROLES, "onehot")
     a = _weighted(a)
-    train = replicate_by_weight(_split(a, "train"), "w", R.key)
-    model = _tuned_mlp(train, _split(a, "val"), len(cols), axes=WEIGHTED_MLP_GRID)
+    model = _tuned_mlp(_split(a, "train"), _split(a, "val"), len(cols), axes, replace(EXAM, plateau=True), "w")
     return M.scored_metrics(model.transform(_split(a, "test")), "MLP + class weights, no GPA")
 
 
@@ -351,9 +334,9 @@ def _oversampled(tr: DataFrame, syn: DataFrame) -> DataFrame:
     return both.select(array_to_vector("vec").alias(M.FEATURES), F.col(R.label).cast("double").alias(M.LABEL))
 
 
-def q_model_smote_mlp(spark, sf_dir):
+def q_model_smote_mlp(spark, sf_dir, axes: dict = SMOTE_MLP_GRID):
     a, cols, tr, syn = _smote_frame(spark, sf_dir, R)
-    model = _tuned_mlp(_oversampled(tr, syn), _split(a, "val"), len(cols), axes=SMOTE_MLP_GRID)
+    model = _tuned_mlp(_oversampled(tr, syn), _split(a, "val"), len(cols), axes)
     return M.scored_metrics(model.transform(_split(a, "test")), "MLP + SMOTE")
 
 
@@ -369,7 +352,7 @@ def q_model_gbt(spark, sf_dir):
     return M.scored_metrics(model.transform(_split(a, "test")), "Boosted trees (one-vs-rest), no GPA")
 
 
-def q_scenario_benchmark(spark, sf_dir):
+def q_scenario_benchmark(spark, sf_dir, rf_axes: dict = TUNED_RF_GRID, mlp_axes: dict = TUNED_MLP_GRID):
     """With / without GPA x with / without SMOTE, tuned forest and tuned exam network."""
     out = None
     for roles, tag in ((R, "con GPA"), (NO_GPA_ROLES, "sin GPA")):
@@ -377,30 +360,30 @@ def q_scenario_benchmark(spark, sf_dir):
         for use_smote in (False, True):
             train = _oversampled(tr, syn) if use_smote else _split(a, "train")
             val, name = _split(a, "val"), tag + (" + SMOTE" if use_smote else "")
-            forest = _tuned_forest(train.withColumn("_y", F.col(M.LABEL).cast("int")), val)
-            for kind, model in (("RF", forest), ("MLP", _tuned_mlp(train, val, len(cols)))):
+            forest = _tuned_forest(train.withColumn("_y", F.col(M.LABEL).cast("int")), val, rf_axes)
+            for kind, model in (("RF", forest), ("MLP", _tuned_mlp(train, val, len(cols), mlp_axes))):
                 m = M.scored_metrics(model.transform(_split(a, "test")), f"{kind}, {name}")
                 out = m if out is None else out.unionByName(m)
     return out.withColumnRenamed("model", "scenario")
 
 
-def q_feature_set_benchmark(spark, sf_dir):
+def q_feature_set_benchmark(spark, sf_dir, axes: dict = TUNED_RF_GRID):
     """base / v1 / v4 / v2_ext and the top-8 importance subset of v2_ext, a tuned forest each."""
     out = None
     results = {}
     for name in ("base", "v1", "v4", "v2_ext"):
         a, cols = prepared(spark, sf_dir, feature_set_roles(name), "label", scale=False,
                            frame=feature_set_frame(spark, sf_dir, name))
-        model = _tuned_forest(_split(a, "train"), _split(a, "val"))
+        model = _tuned_forest(_split(a, "train"), _split(a, "val"), axes)
         results[name] = (model, cols)
         m = M.scored_metrics(model.transform(_split(a, "test")), name)
         out = m if out is None else out.unionByName(m)
     model, cols = results["v2_ext"]
-    top = [f for f, _v in M.importances(model.stages[-1], cols)[:8]]
+    top = [f for f, _v in model.importances(cols)[:8]]
     sel_roles = Roles(key=R.key, label=R.label, continuous=tuple(top), categorical=())
     frame = feature_set_frame(spark, sf_dir, "v2_ext")
     a, cols = prepared(spark, sf_dir, sel_roles, "label", scale=False, frame=frame)
-    model = _tuned_forest(_split(a, "train"), _split(a, "val"))
+    model = _tuned_forest(_split(a, "train"), _split(a, "val"), axes)
     out = out.unionByName(M.scored_metrics(model.transform(_split(a, "test")), "importance_top8"))
     return out.withColumnRenamed("model", "feature_set")
 
