@@ -474,12 +474,17 @@ def q_ks_events(spark, sf_dir):
 
 
 def embedding_split(spark, sf_dir) -> DataFrame:
-    """Embeddings as array<double>, split stratified by label on vec_id."""
+    """Embeddings as array<double>, split stratified by label on vec_id,
+    written once."""
     from gradewise.roles import Roles
-    e = table(spark, sf_dir, "embeddings").select(
-        "vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
     roles = Roles(key="vec_id", label="label", continuous=(), categorical=())
-    return stratified_split(e, roles)
+
+    def split() -> DataFrame:
+        e = table(spark, sf_dir, "embeddings").select(
+            "vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+        return stratified_split(e, roles)
+
+    return materialized(spark, "embedding_split", (_split, _prefix), [f"{sf_dir.rstrip('/')}/embeddings.parquet"], split)
 
 
 def q_knn_classify(spark, sf_dir):
