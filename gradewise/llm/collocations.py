@@ -1,10 +1,11 @@
 """Phrase collocations by weighted acyclic automata.
 
-1. Words and word pairs are counted by 64-bit codes; those that occur at least
-   ``least`` times become bits of a filter (of bounded size; where two codes
-   share a bit, only more is counted below).
-2. Each position's window, its next words as far as all words and pairs pass
-   the filter (a phrase with a rare pair is rare itself), is counted in a shard.
+1. Words and word pairs are counted by 64-bit codes, then longer phrases of
+   which all pairs are frequent; codes that occur at least ``least`` times become
+   bits of a filter (of bounded size; where two codes share a bit, or the filter
+   is full, only more is counted below).
+2. Each position's window, its next words as far as all phrases in it pass the
+   filter (a phrase around a rare one is rare itself), is counted in a shard.
    A shard's sorted windows become count transducers (``transducer``), cut by
    prefix range: the range of the first two words.
 3. Per range the shards' transducers are united and their weights summed, in
@@ -12,7 +13,7 @@
    total at a state is the number of occurrences of the words that lead to it.
    Totals of single words are spread over ranges and summed after.
 4. The parts of a phrase cut after its first words are looked up by composing
-   sorted parts with the transducer of their range.
+   them with the transducer of their range.
 
 Defined cases: a null text has no words; a null language is ``und``; repeated
 rows count as often as they come; a language without candidates has no rows,
@@ -21,6 +22,8 @@ nor has an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewise.llm.tables import written
-from gradewise.llm.transducer import Transducer, union
+from gradewise.llm.transducer import NONE, Transducer, summed, union
 from gradewise.llm.words import blocks, mix, words_of
 
 # Bytes that end a piece, and those that end a word.
@@ -39,7 +42,7 @@ SEPARATORS = BREAKS.copy()
 SEPARATORS[[0x20, 0x09]] = True
 
 LEAST, LONGEST, ABSORBED, FIRST = 30, 4, 80, 2000
-SHARD = 250_000  # windows of a shard
+SHARD = 1_500_000  # windows held in a task
 ROUND = 16  # groups of shards that are united before all are
 SALTS = 8  # parts of the look-ups of one range
 FILTER_BITS = 1 << 28  # the filter's greatest size: 32 MB
@@ -66,14 +69,23 @@ class Block:
         self.follows = np.zeros(len(plain), bool)  # the next word is in the same piece
         if len(plain) > 1:
             self.follows[:-1] = (row[1:] == row[:-1]) & (ends[words.start[1:]] == ends[words.end[:-1]])
-        self.pairs = np.zeros(len(plain), np.uint64)
-        if len(plain) > 1:
-            self.pairs[:-1] = mix(self.codes[:-1] * _PAIR + self.codes[1:])
 
+    def phrases(self, longest: int, bits: np.ndarray | None = None, known: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each size up to ``longest`` the codes of the phrases that begin at
+        each word and whether there is one, of which all parts of up to
+        ``known`` words pass ``bits``."""
+        codes, there = self.codes, np.ones(len(self.codes), bool)
+        for size in range(1, longest + 1):
+            if size > 1:
+                following = np.concatenate([codes[1:], codes[:1]])
+                there = there & self.follows & np.concatenate([there[1:], there[:0], [False] * min(1, len(there))])
+                codes = mix(codes * _PAIR + following)
+            yield codes, there
+            if size <= known:
+                there = there & _passes(bits, codes)
 
-def _digest(lang: str) -> bytes:
-    import hashlib
 
+def _digest(lang: str) -> bytes:
     return hashlib.blake2b(lang.encode(), digest_size=8).digest()
 
 
@@ -82,31 +94,36 @@ def _texts(docs: DataFrame) -> DataFrame:
                                                         F.col("text").cast("string").alias("text"))
 
 
-def code_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """``lang, kind, code, n``: words of each language (kind 0), and codes of
-    words (1) and pairs (2) with at least ``least`` occurrences."""
+def code_counts(docs: DataFrame, sizes: range, least: int = LEAST, bits: np.ndarray | None = None) -> DataFrame:
+    """``lang, size, code, n``: words of each language (size 0), and codes of
+    phrases of the sizes with at least ``least`` occurrences, of those whose
+    shorter parts pass ``bits``."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, limit=4 << 20):
+            for part in blocks(batch, limit=2 << 20):
                 b = Block(part)
                 n = np.bincount(b.lang, minlength=len(b.langs))
-                words, times = np.unique(b.codes, return_counts=True)
-                pairs, often = np.unique(b.pairs[b.follows], return_counts=True)
-                none = np.zeros(len(n), np.int64)
-                kind = np.repeat(np.array([0, 1, 2], np.int8), [len(n), len(words), len(pairs)])
+                found = [(0, np.zeros(len(n), np.uint64), n)] if 1 in sizes else []
+                for size, (codes, there) in enumerate(b.phrases(sizes.stop - 1, shared.value, sizes.start - 1), 1):
+                    if size in sizes:
+                        found.append((size, *np.unique(codes[there], return_counts=True)))
+                langs = b.langs if 1 in sizes else []
+                total = sum(len(c) for _, c, _ in found)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([*b.langs, *[None] * (len(words) + len(pairs))], pa.string()), pa.array(kind),
-                     pa.array(np.concatenate([none, words.view(np.int64), pairs.view(np.int64)])),
-                     pa.array(np.concatenate([n, times, often]).astype(np.int64))], ["lang", "kind", "code", "n"])
+                    [pa.array([*langs, *[None] * (total - len(langs))], pa.string()),
+                     pa.array(np.repeat(np.array([x[0] for x in found], np.int8), [len(x[1]) for x in found])),
+                     pa.array(np.concatenate([x[1] for x in found]).view(np.int64)),
+                     pa.array(np.concatenate([x[2] for x in found]).astype(np.int64))], ["lang", "size", "code", "n"])
 
-    counted = _texts(docs).mapInArrow(run, "lang string, kind byte, code long, n long")
-    return counted.groupBy("lang", "kind", "code").agg(F.sum("n").alias("n")).where((F.col("kind") == 0) | (F.col("n") >= least))
+    counted = _texts(docs).mapInArrow(run, "lang string, size byte, code long, n long")
+    return counted.groupBy("lang", "size", "code").agg(F.sum("n").alias("n")).where((F.col("size") == 0) | (F.col("n") >= least))
 
 
 def code_filter(counts: DataFrame) -> tuple[np.ndarray, int]:
     """Bits set at the codes of ``counts`` and how many codes there are."""
-    codes = counts.where("kind > 0")
+    codes = counts.where("size > 0")
     entries = codes.count()
     size = min(FILTER_BITS, max(SEGMENT, 1 << (16 * entries).bit_length()))
     place = F.col("code").bitwiseAND(F.lit(size - 1))
@@ -130,33 +147,28 @@ def _passes(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _windows(b: Block, bits: np.ndarray, longest: int) -> Iterator[tuple[str, tuple[bytes, ...], int]]:
-    """(language, words, how often) of a block's windows."""
+def _windows(b: Block, bits: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """A block's distinct windows (its language's number and word numbers, ``NONE``
+    behind the end), how often each occurs, and the words."""
     n = len(b.codes)
-    if not n:
-        return
-    frequent = _passes(bits, b.codes)
-    joined = b.follows & _passes(bits, b.pairs)
-    length = frequent.astype(np.int64)
-    going = frequent
-    for k in range(longest - 1):
-        going = going & np.concatenate([joined[k:], np.zeros(min(k, n), bool)])
-        length += going
+    length = np.zeros(n, np.int64)
+    for codes, there in b.phrases(longest, bits, longest):
+        length += there & _passes(bits, codes)
     at = np.flatnonzero(length)
     if not len(at):
-        return
+        return np.zeros((0, longest + 1), np.int64), np.zeros(0, np.int64), []
     taken = np.zeros(n + longest, bool)
     for k in range(longest):
         taken[at[length[at] > k] + k] = True
     used = np.flatnonzero(taken[:n])
-    number, vocabulary = _vocabulary(b, used)
+    number, words = _vocabulary(b, used)
     ids = np.zeros(n + longest, np.int64)
     ids[used] = number + 1
-    columns = [np.where(length[at] > k, ids[at + k], 0) for k in range(longest)]
-    base = len(vocabulary) + 1
+    columns = [b.lang[at], *(np.where(length[at] > k, ids[at + k], 0) for k in range(longest))]
+    base = len(words) + 1
     if base ** longest * len(b.langs) < 1 << 63:
-        key = b.lang[at]
-        for c in columns:
+        key = columns[0]
+        for c in columns[1:]:
             key = key * base + c
         keys, times = np.unique(key, return_counts=True)
         rows = np.empty((len(keys), longest + 1), np.int64)
@@ -164,10 +176,9 @@ def _windows(b: Block, bits: np.ndarray, longest: int) -> Iterator[tuple[str, tu
             keys, rows[:, k] = np.divmod(keys, base)
         rows[:, 0] = keys
     else:
-        rows, times = np.unique(np.stack([b.lang[at], *columns], axis=1), axis=0, return_counts=True)
-    name = [b"", *vocabulary]
-    for row, m in zip(rows.tolist(), times.tolist()):
-        yield b.langs[row[0]], tuple([name[i] for i in row[1:] if i]), m
+        rows, times = summed(np.stack(columns, axis=1), np.ones(len(at), np.int64))
+    rows[:, 1:] -= 1  # 0 was no word: NONE
+    return rows, times, words
 
 
 def _vocabulary(b: Block, used: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
@@ -190,10 +201,56 @@ def _vocabulary(b: Block, used: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     return number, words
 
 
-def _range(words: tuple[bytes, ...], ranges: int) -> int:
-    import zlib
-
-    return zlib.crc32(b" ".join(words[:2])) % ranges
+class Shard:
+    """Windows of many blocks, in numbers of the shard's own languages and words."""
+
+    def __init__(self, longest: int) -> None:
+        self.langs: dict[str, int] = {}
+        self.words: dict[bytes, int] = {}
+        self.rows = [np.zeros((0, longest + 1), np.int32)]
+        self.counts = [np.zeros(0, np.int64)]
+        self.size = 0
+
+    def add(self, langs: list[str], words: list[bytes], rows: np.ndarray, counts: np.ndarray) -> None:
+        known = self.words
+        own = np.array([*(known.setdefault(w, len(known)) for w in words), NONE], np.int32)
+        lang = np.array([self.langs.setdefault(x, len(self.langs)) for x in langs], np.int32)
+        self.rows.append(np.concatenate([lang[rows[:, :1]], own[rows[:, 1:]]], axis=1))
+        self.counts.append(counts)
+        self.size += len(rows)
+
+    def compact(self) -> None:
+        rows, counts = summed(np.concatenate(self.rows), np.concatenate(self.counts))
+        self.rows, self.counts, self.size = [rows], [counts], len(rows)
+
+    def transducers(self, ranges: int) -> Iterator[tuple[str, int, bytes]]:
+        """(language, prefix range, automaton) of all windows."""
+        self.compact()
+        rows, counts = self.rows[0], self.counts[0]
+        words = list(self.words)
+        order = sorted(range(len(words)), key=words.__getitem__)
+        rank = np.empty(len(words) + 1, np.int64)
+        rank[order] = np.arange(len(words))
+        rank[-1] = NONE
+        words = [words[i] for i in order]
+        rows = np.concatenate([rows[:, :1].astype(np.int64), rank[rows[:, 1:]]], axis=1)
+        # the range of the first two words: the same in all shards
+        place = np.array([*(zlib.crc32(w) for w in words), 0], np.int64)
+        second = place[rows[:, 2]] if rows.shape[1] > 2 else 0
+        ranged = np.concatenate([rows[:, :1], ((place[rows[:, 1]] * 31 + second) % ranges)[:, None], rows[:, 1:]], axis=1)
+        order = np.lexsort(ranged.T[::-1])
+        ranged, counts = ranged[order], counts[order]
+        edges = np.flatnonzero((ranged[1:, :2] != ranged[:-1, :2]).any(axis=1)) + 1
+        names = list(self.langs)
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(ranged)]):
+            if a == b:
+                continue
+            part = ranged[a:b, 2:]
+            used = np.unique(part)
+            used = used[used != NONE]
+            own = np.where(part == NONE, NONE, np.searchsorted(used, part))
+            yield (names[ranged[a, 0]], int(ranged[a, 1]),
+                   Transducer.from_rows([words[i] for i in used.tolist()], own, counts[a:b]).to_bytes())
 
 
 def shard_transducers(docs: DataFrame, bits: np.ndarray, ranges: int, longest: int = LONGEST, shard: int = SHARD) -> DataFrame:
@@ -206,32 +263,28 @@ def shard_transducers(docs: DataFrame, bits: np.ndarray, ranges: int, longest: i
 
         context, made = TaskContext.get(), 0
         task = context.partitionId() if context else 0
-        held: dict[tuple[str, int], dict[tuple[bytes, ...], int]] = {}
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal size, made
-            keys = list(held)
-            data = [Transducer.build(sorted(held[k].items())).to_bytes() for k in keys]
-            part = (task * 31 + made) % ROUND
-            held.clear()
-            size, made = 0, made + 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()),
-                 pa.array([part] * len(keys), pa.int32()), pa.array(data, pa.binary())], ["lang", "range", "part", "automaton"])
 
+        def out(held: Shard) -> Iterator[pa.RecordBatch]:
+            rows = list(held.transducers(ranges))
+            if rows:
+                lang, place, data = zip(*rows)
+                part = pa.array([(task * 31 + made) % ROUND] * len(rows), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(place, pa.int32()), part, pa.array(data, pa.binary())],
+                                                 ["lang", "range", "part", "automaton"])
+
+        held = Shard(longest)
         for batch in batches:
-            for part in blocks(batch, limit=4 << 20):
-                for lang, words, n in _windows(Block(part), shared.value, longest):
-                    counts = held.setdefault((lang, _range(words, ranges)), {})
-                    before = counts.get(words)
-                    if before is None:
-                        size += 1
-                    counts[words] = n + (before or 0)
-                if size >= shard:
-                    yield flush()
-        if held:
-            yield flush()
+            for part in blocks(batch):
+                b = Block(part)
+                rows, counts, words = _windows(b, shared.value, longest)
+                if len(rows):
+                    held.add(b.langs, words, rows, counts)
+                if held.size >= shard:
+                    held.compact()
+                    if held.size >= shard // 2:
+                        yield from out(held)
+                        held, made = Shard(longest), made + 1
+        yield from out(held)
 
     return _texts(docs).mapInArrow(run, "lang string, range int, part int, automaton binary")
 
@@ -239,8 +292,11 @@ def shard_transducers(docs: DataFrame, bits: np.ndarray, ranges: int, longest: i
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, size, f`` of all phrases up to ``longest`` words that
     occur at least ``least`` times, and ``lang, n`` (words of a language)."""
-    counts = written(code_counts(docs, least), "collocation-codes")
+    counts = written(code_counts(docs, range(1, min(longest, 2) + 1), least), "collocation-codes")
     bits, entries = code_filter(counts)
+    if longest > 2:
+        longer = written(code_counts(docs, range(3, longest + 1), least, bits), "collocation-longer-codes")
+        bits, entries = code_filter(counts.unionByName(longer))
     spark = docs.sparkSession
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // RANGE_ENTRIES + 1)
 
@@ -250,7 +306,9 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
 
     def totals(key: tuple, table: pa.Table) -> pa.Table:
         merged = union([Transducer.from_bytes(x.as_py()) for x in table.column("automaton")])
-        found = [(b" ".join(w).decode(), len(w), f) for w, f in merged.totals() if len(w) == 1 or f >= least]
+        total = merged.totals()
+        marked = [np.ones(len(t), bool) if not d else t >= least for d, t in enumerate(total)]
+        found = [(b" ".join(w).decode(), d + 1, int(total[d][s])) for w, d, s in merged.phrases(marked)]
         phrase, size, f = zip(*found) if found else ((), (), ())
         return pa.table({"lang": pa.array([key[0].as_py()] * len(phrase), pa.string()), "phrase": pa.array(phrase, pa.string()),
                          "size": pa.array(size, pa.int32()), "f": pa.array(f, pa.int64())})
@@ -259,7 +317,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
     first = shards.groupBy("lang", "range", "part").applyInArrow(unite, "lang string, range int, automaton binary")
     pieces = first.groupBy("lang", "range").applyInArrow(totals, "lang string, phrase string, size int, f long")
     phrases = pieces.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return written(phrases, "collocation-phrases"), counts.where("kind = 0").select("lang", "n")
+    return written(phrases, "collocation-phrases"), counts.where("size = 0").select("lang", "n")
 
 
 def part_counts(phrases: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -286,9 +344,7 @@ def part_counts(phrases: DataFrame, candidates: DataFrame) -> DataFrame:
         split = lambda c: [tuple(x.encode().split(b" ")) for x in c.to_pylist()]
         own = Transducer.build(sorted(zip(split(left.column("phrase")), left.column("f").to_pylist())))
         parts = split(right.column("part"))
-        order = sorted(range(len(parts)), key=parts.__getitem__)
-        right = right.take(pa.array(order, pa.int64()))
-        f = pa.array(own.compose(parts[i] for i in order), pa.int64())
+        f = pa.array(own.compose(parts), pa.int64())
         return pa.table([*(right.column(c) for c in names[:-1]), f], names)
 
     keys = ["lang", "range", "salt"]

@@ -1,148 +1,166 @@
-"""Weighted acyclic automata over word sequences.
-
-A state has a final weight and labelled arcs; equal states are one.  Automata
-are built incrementally from sorted sequences: when the next sequence leaves a
-path, the states left behind are final and are replaced by equal ones where
-there are any.  Every state also has the total weight of what can follow, so
-the total of all sequences with a given beginning is read at the state that
-the beginning leads to.
+"""Weighted acyclic automata over word sequences, as arrays.
+
+States of one depth are numbered in the order of the sequences that lead to
+them, so an automaton is one array of arc labels, one of the states the arcs
+come from and one of final weights for each depth, and is built in one sweep
+over sorted sequences: a sequence adds states from where it leaves the one
+before it.  The total weight of what begins with the words that lead to a state
+is its weight and the totals of the states after it.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterable, Iterator
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 
 Words = tuple[bytes, ...]
+NONE = -1  # a place behind a sequence's end
+
+
+def summed(rows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in rising order and the summed weights of equal ones."""
+    if not len(rows):
+        return rows, weights
+    order = np.lexsort(rows.T[::-1])
+    rows, weights = rows[order], weights[order]
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
+    return rows[first], np.add.reduceat(weights, first)
 
 
 class Transducer:
-    def __init__(self) -> None:
-        self.weight: list[int] = []
-        self.total: list[int] = []
-        self.arcs: list[tuple[tuple[bytes, int], ...]] = []  # in order of their labels
-        self.root = -1
+    def __init__(self, labels: list[bytes], levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        self.labels = labels  # sorted
+        self.levels = levels  # per depth: label, state before, weight
+
+    @classmethod
+    def from_rows(cls, labels: list[bytes], rows: np.ndarray, weights: np.ndarray) -> Transducer:
+        """From distinct sequences in rising order: rows of label numbers, ``NONE`` behind the end."""
+        levels = []
+        at = np.zeros(len(rows), np.int64)  # each row's state so far
+        inside = np.ones(len(rows), bool)
+        changed = np.zeros(len(rows), bool)  # since the row before
+        for d in range(rows.shape[1]):
+            inside = inside & (rows[:, d] != NONE)
+            if not inside.any():
+                break
+            changed[1:] |= rows[1:, d] != rows[:-1, d]
+            new = changed | np.concatenate([[True], ~inside[:-1]])
+            new &= inside
+            new[np.argmax(inside)] = True
+            state = np.cumsum(new) - 1
+            first = np.flatnonzero(new)
+            weight = np.zeros(len(first), np.int64)
+            ends = inside & (rows[:, d + 1] == NONE) if d + 1 < rows.shape[1] else inside
+            weight[state[ends]] = weights[ends]
+            levels.append((rows[first, d].astype(np.int32), at[first].astype(np.int32), weight))
+            at = state
+        return cls(labels, levels)
 
     @classmethod
     def build(cls, items: Iterable[tuple[Words, int]]) -> Transducer:
         """From (sequence, weight) in rising order of the sequences."""
-        own, known = cls(), {}
-        path: list[list] = [[None, 0, []]]  # [label, weight, arcs] from the root on
-
-        def close(depth: int) -> None:
-            while len(path) > depth:
-                label, weight, arcs = path.pop()
-                key = (weight, *arcs)
-                state = known.get(key)
-                if state is None:
-                    state = known[key] = own._state(weight, tuple(arcs))
-                path[-1][2].append((label, state))
-
-        before: Words | None = None
-        for words, weight in items:
-            if before is not None and words <= before:
-                raise ValueError("sequences must rise")
-            same = 0
-            if before:
-                for a, b in zip(before, words):
-                    if a != b:
-                        break
-                    same += 1
-            close(same + 1)
-            for word in words[same:]:
-                path.append([word, 0, []])
-            path[-1][1] += weight
-            before = words
-        close(1)
-        own.root = own._state(path[0][1], tuple(path[0][2]))
-        return own
-
-    def _state(self, weight: int, arcs: tuple[tuple[bytes, int], ...]) -> int:
-        self.weight.append(weight)
-        self.arcs.append(arcs)
-        self.total.append(weight + sum(self.total[to] for _, to in arcs))
-        return len(self.weight) - 1
-
-    def items(self) -> Iterator[tuple[Words, int]]:
-        """(sequence, weight) in rising order, of those with a weight."""
-        yield from ((words, self.weight[s]) for words, s in self.prefixes() if self.weight[s])
-
-    def prefixes(self) -> Iterator[tuple[Words, int]]:
-        """(beginning, its state) in rising order."""
-        stack: list[tuple[Words, int]] = [((), self.root)]
-        while stack:
-            words, state = stack.pop()
-            yield words, state
-            stack += [((*words, label), to) for label, to in reversed(self.arcs[state])]
-
-    def totals(self) -> Iterator[tuple[Words, int]]:
-        """(beginning, total of the sequences that begin so), the empty one left out."""
-        yield from ((words, self.total[s]) for words, s in self.prefixes() if words)
-
-    def compose(self, asked: Iterable[Words]) -> Iterator[int | None]:
-        """The weight of each sequence asked for (none: not there).  They come
-        in rising order and share the walk along common beginnings."""
-        walk, before = [self.root], ()
-        maps: dict[int, dict[bytes, int]] = {}
-        for words in asked:
-            same = 0
-            for a, b in zip(before, words):
-                if a != b:
-                    break
-                same += 1
-            del walk[same + 1:]
-            for word in words[len(walk) - 1:]:
-                state = walk[-1]
-                arcs = maps.get(state)
-                if arcs is None:
-                    arcs = maps[state] = dict(self.arcs[state])
-                to = arcs.get(word)
-                if to is None:
-                    break
-                walk.append(to)
-            whole = len(walk) == len(words) + 1
-            before = words[:len(walk) - 1]
-            yield (self.weight[walk[-1]] or None) if whole else None
+        items = list(items)
+        if any(a[0] >= b[0] for a, b in zip(items, items[1:])):
+            raise ValueError("sequences must rise")
+        labels = sorted({w for words, _ in items for w in words})
+        number = {w: i for i, w in enumerate(labels)}
+        rows = np.full((len(items), max((len(w) for w, _ in items), default=0)), NONE, np.int64)
+        for i, (words, _) in enumerate(items):
+            rows[i, :len(words)] = [number[w] for w in words]
+        return cls.from_rows(labels, rows, np.array([n for _, n in items], np.int64))
+
+    def paths(self) -> Iterator[np.ndarray]:
+        """Per depth the label numbers that lead to each of its states."""
+        path = np.zeros((1, 0), np.int64)
+        for label, before, _ in self.levels:
+            path = np.concatenate([path[before], label[:, None]], axis=1)
+            yield path
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of label numbers of the sequences that have a weight, and the weights."""
+        depth, out, weights = len(self.levels), [np.zeros((0, len(self.levels)), np.int64)], [np.zeros(0, np.int64)]
+        for d, (path, level) in enumerate(zip(self.paths(), self.levels)):
+            ends = level[2] > 0
+            out.append(np.pad(path[ends], ((0, 0), (0, depth - d - 1)), constant_values=NONE))
+            weights.append(level[2][ends])
+        return np.concatenate(out), np.concatenate(weights)
+
+    def totals(self) -> list[np.ndarray]:
+        """Per depth the total of the sequences that go through each state."""
+        out: list[np.ndarray] = []
+        for d in range(len(self.levels) - 1, -1, -1):
+            total = self.levels[d][2].copy()
+            if out:
+                np.add.at(total, self.levels[d + 1][1], out[-1])
+            out.append(total)
+        return out[::-1]
+
+    def phrases(self, states: list[np.ndarray]) -> Iterator[tuple[Words, int, int]]:
+        """(words, depth, state) of the states marked at each depth."""
+        for d, (path, marked) in enumerate(zip(self.paths(), states)):
+            for s, row in zip(np.flatnonzero(marked).tolist(), path[marked].tolist()):
+                yield tuple([self.labels[i] for i in row]), d, s
+
+    def compose(self, asked: list[Words]) -> list[int | None]:
+        """The weight of each sequence asked for (none: not there), all walked
+        one depth at a time."""
+        number = {w: i for i, w in enumerate(self.labels)}
+        size = np.array([len(w) for w in asked], np.int64)
+        at = np.zeros(len(asked), np.int64)
+        there = np.ones(len(asked), bool)
+        weight = np.zeros(len(asked), np.int64)
+        base = len(self.labels) + 1
+        for d in range(int(size.max(initial=0))):
+            there &= size > d
+            if d >= len(self.levels):
+                break
+            label, before, final = self.levels[d]
+            word = np.array([number.get(w[d], NONE) if len(w) > d else NONE for w in asked], np.int64)
+            keys, wanted = before.astype(np.int64) * base + label, at * base + word
+            found = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            there &= (word != NONE) & (keys[found] == wanted)
+            at = np.where(there, found, 0)
+            weight = np.where(there & (size == d + 1), final[at], weight)
+        return [w or None for w in weight.tolist()]
 
     def to_bytes(self) -> bytes:
-        """States, arcs and labels as little-endian arrays, one after the other."""
-        labels = sorted({label for arcs in self.arcs for label, _ in arcs})
-        number = {label: i for i, label in enumerate(labels)}
-        head = np.array([len(self.arcs), sum(map(len, self.arcs)), len(labels), self.root], "<i8")
-        parts = [head, np.array(self.weight, "<i8"), np.array([len(a) for a in self.arcs], "<u4"),
-                 np.array([number[label] for arcs in self.arcs for label, _ in arcs], "<u4"),
-                 np.array([to for arcs in self.arcs for _, to in arcs], "<u4"), np.array([len(x) for x in labels], "<u4")]
-        return b"".join([p.tobytes() for p in parts] + labels)
+        """Sizes, levels and labels as little-endian arrays, one after the other."""
+        head = np.array([len(self.labels), len(self.levels), *(len(x[0]) for x in self.levels)], "<i8")
+        sizes = np.array([len(x) for x in self.labels], "<u4")
+        arrays = [a.astype(kind) for level in self.levels for a, kind in zip(level, ("<i4", "<i4", "<i8"))]
+        return b"".join([head.tobytes(), *(a.tobytes() for a in arrays), sizes.tobytes(), *self.labels])
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Transducer:
-        n, m, k, root = np.frombuffer(data, "<i8", 4).tolist()
-        at = 32
-
-        def take(kind: str, count: int) -> list[int]:
-            nonlocal at
-            out = np.frombuffer(data, kind, count, at).tolist()
-            at += count * np.dtype(kind).itemsize
-            return out
-
-        weights, fan, names, targets, sizes = take("<i8", n), take("<u4", n), take("<u4", m), take("<u4", m), take("<u4", k)
+        n, depth = np.frombuffer(data, "<i8", 2).tolist()
+        counts = np.frombuffer(data, "<i8", depth, 16).tolist()
+        at, levels = 16 + 8 * depth, []
+        for count in counts:
+            level = []
+            for kind in ("<i4", "<i4", "<i8"):
+                level.append(np.frombuffer(data, kind, count, at))
+                at += count * np.dtype(kind).itemsize
+            levels.append(tuple(level))
+        sizes = np.frombuffer(data, "<u4", n, at).tolist()
+        at += 4 * n
         labels = []
         for size in sizes:
             labels.append(data[at:at + size])
             at += size
-        own, i = cls(), 0
-        for weight, count in zip(weights, fan):  # a state's arcs lead to states before it
-            own._state(weight, tuple((labels[names[j]], targets[j]) for j in range(i, i + count)))
-            i += count
-        own.root = root
-        return own
+        return cls(labels, levels)
 
 
 def union(automata: Iterable[Transducer]) -> Transducer:
     """The automaton of all sequences, weights of equal ones summed."""
-    merged = heapq.merge(*(a.items() for a in automata), key=itemgetter(0))
-    return Transducer.build((words, sum(w for _, w in same)) for words, same in groupby(merged, key=itemgetter(0)))
+    automata = list(automata)
+    labels = sorted(set().union(*(a.labels for a in automata)))
+    number = {w: i for i, w in enumerate(labels)}
+    depth = max((len(a.levels) for a in automata), default=0)
+    rows, weights = [np.zeros((0, depth), np.int64)], [np.zeros(0, np.int64)]
+    for a in automata:
+        own = np.array([*(number[w] for w in a.labels), NONE], np.int64)  # NONE stays, as the last place
+        r, w = a.rows()
+        rows.append(np.pad(own[r], ((0, 0), (0, depth - r.shape[1])), constant_values=NONE))
+        weights.append(w)
+    return Transducer.from_rows(labels, *summed(np.concatenate(rows), np.concatenate(weights)))
