@@ -131,7 +131,7 @@ FULL_RF_GRID = {
     "num_trees": [200, 400, 700],
 }
 RF_GRID = {"class_weight": ["balanced", None], "min_instances": [1, 2, 4], "num_trees": [20, 50]}
-TUNED_RF_GRID = {"class_weight": ["balanced", None], "min_instances": [2], "num_trees": [20, 50]}  # per row of a benchmark
+TUNED_RF_GRID = {"class_weight": ["balanced", None], "min_instances": [2], "num_trees": [10, 30]}  # per row of a benchmark
 
 
 def _forest_params(cfg: dict) -> M.RFParams:
@@ -192,8 +192,8 @@ FULL_WEIGHTED_MLP_GRID = {"batch_size": [32, 64], "epochs": [50, 100], "learning
 FULL_SMOTE_MLP_GRID = {"batch_size": [32, 64], "epochs": [100, 150], "learning_rate": [1e-3], "optimizer": ["adam", "sgd"]}
 # What the registered queries search.
 MLP_GRID = {"batch_size": [64, 128], "epochs": [10, 20], "learning_rate": [1e-3], "optimizer": ["adam", "rmsprop", "sgd"]}
-TUNED_MLP_GRID = {"batch_size": [128], "epochs": [10, 20], "learning_rate": [1e-3], "optimizer": ["adam"]}
-VARIANT_MLP_GRID = {"batch_size": [128], "epochs": [15, 30], "learning_rate": [5e-4, 1e-3], "optimizer": ["adam"]}
+TUNED_MLP_GRID = {"batch_size": [128], "epochs": [8, 15], "learning_rate": [1e-3], "optimizer": ["adam"]}
+VARIANT_MLP_GRID = {"batch_size": [128], "epochs": [10, 20], "learning_rate": [5e-4, 1e-3], "optimizer": ["adam"]}
 WEIGHTED_MLP_GRID = {"batch_size": [64], "epochs": [15, 30], "learning_rate": [5e-4, 1e-3], "optimizer": ["adam", "sgd"]}
 SMOTE_MLP_GRID = {"batch_size": [64], "epochs": [10, 20], "learning_rate": [1e-3], "optimizer": ["adam", "sgd"]}
 
