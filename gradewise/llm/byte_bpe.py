@@ -44,7 +44,7 @@ from gradewise.llm.forward import Forward
 from gradewise.llm.words import blocks
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-MEMO = 400_000
+MEMO = 700_000
 # The characters that Unicode calls white space.
 WHITE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 _UNITS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
