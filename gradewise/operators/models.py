@@ -4,9 +4,9 @@ Training is distributed by Spark ML itself (tree histograms are aggregations
 over partitions); the driver only holds the model.  Features come from the
 encoders (scaled, train-fitted) and are assembled into one vector column.
 
-Differences from the reference's single-machine stack, by necessity:
-``max_depth=None`` maps to a finite depth; boosted trees are binary, so
-multiclass boosting is one-vs-rest.
+Spark ML's forests end at depth 30, which is what ``max_depth=None`` gives
+here.  Boosting over all classes and forests weighted per bootstrap are
+:mod:`gradewise.operators.trees`.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     FMClassifier,
-    GBTClassifier,
     OneVsRest,
     RandomForestClassifier,
 )
@@ -28,6 +27,7 @@ from gradewise.operators.metrics import confusion_cells, macro
 
 FEATURES = "features"
 LABEL = "label_d"
+DEEPEST = 30  # of a tree in Spark ML
 
 
 def assembled(df: DataFrame, cols: list[str], label: str, keep: list[str] | None = None) -> DataFrame:
@@ -39,15 +39,17 @@ def assembled(df: DataFrame, cols: list[str], label: str, keep: list[str] | None
 @dataclass(frozen=True)
 class RFParams:
     num_trees: int = 50
-    max_depth: int = 12
+    max_depth: int | None = 12
     min_instances: int = 2
     class_weight: str | None = "balanced"
     seed: int = 42
 
 
 def random_forest(p: RFParams, weight_col: str | None = None) -> RandomForestClassifier:
+    if p.class_weight == "balanced_subsample":
+        raise ValueError("weights per bootstrap: see forests.fit_parts")
     rf = RandomForestClassifier(
-        featuresCol=FEATURES, labelCol=LABEL, numTrees=p.num_trees, maxDepth=p.max_depth,
+        featuresCol=FEATURES, labelCol=LABEL, numTrees=p.num_trees, maxDepth=DEEPEST if p.max_depth is None else p.max_depth,
         minInstancesPerNode=p.min_instances, featureSubsetStrategy="sqrt", seed=p.seed,
         # more tree nodes split per pass over the data, node ids cached
         # (checkpointed to the shared checkpoint folder) instead of
@@ -59,11 +61,6 @@ def random_forest(p: RFParams, weight_col: str | None = None) -> RandomForestCla
     return rf
 
 
-def gbt_ovr(max_iter: int = 20, max_depth: int = 5, seed: int = 42) -> OneVsRest:
-    return OneVsRest(classifier=GBTClassifier(maxIter=max_iter, maxDepth=max_depth, seed=seed),
-                     featuresCol=FEATURES, labelCol=LABEL, parallelism=4)
-
-
 def fm_ovr(factor_size: int, max_iter: int = 50, seed: int = 42) -> OneVsRest:
     return OneVsRest(classifier=FMClassifier(factorSize=factor_size, maxIter=max_iter, seed=seed, stepSize=0.05),
                      featuresCol=FEATURES, labelCol=LABEL, parallelism=4)
@@ -78,7 +75,8 @@ def scored_metrics(pred: DataFrame, model_name: str, digits: int | None = 4) ->
 
 
 def importances(model, cols: list[str]) -> list[tuple[str, float]]:
-    imp = model.featureImportances.toArray()
+    """(column, share), greatest first, of a fitted pipeline or :class:`~gradewise.operators.trees.TreeModel`."""
+    imp = model.stages[-1].featureImportances.toArray() if isinstance(model, PipelineModel) else model.importances()
     return sorted(zip(cols, [float(x) for x in imp]), key=lambda t: (-t[1], t[0]))
 
 

@@ -53,3 +53,17 @@ def test_search_fits_shared_trees_once(rows, monkeypatch):
     assert sum(v for _, v in top) == pytest.approx(1) and top[0][1] >= top[-1][1]
     with pytest.raises(ValueError):
         forests.Forest([(3, None)]).prefix(2)
+
+
+def test_parts_weighted_per_bootstrap_take_part_in_searches(rows):
+    train, val = rows.where("i < 350"), rows.where("i >= 350")
+    cfgs = grid({"class_weight": ["balanced_subsample"], "max_depth": [None], "min_instances": [1], "num_trees": [2, 6]})
+    found, best, forest = forests.search(
+        cfgs, lambda c: M.RFParams(c["num_trees"], c["max_depth"], c["min_instances"], c["class_weight"]), train, val)
+    assert [r["num_trees"] for r in found] == [2, 6]
+    part = forest.parts[0][1]
+    assert len(part.trees) == 2 and part.classes == 3
+    right = forest.transform(val).filter(F.col("prediction") == F.col("_y")).count()
+    assert right / val.count() == pytest.approx(found[best]["val_accuracy"])
+    with pytest.raises(ValueError):
+        M.random_forest(M.RFParams(class_weight="balanced_subsample"))
