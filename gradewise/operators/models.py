@@ -14,11 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    FMClassifier,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,11 +57,6 @@ def random_forest(p: RFParams, weight_col: str | None = None) -> RandomForestCla
     return rf
 
 
-def fm_ovr(factor_size: int, max_iter: int = 50, seed: int = 42) -> OneVsRest:
-    return OneVsRest(classifier=FMClassifier(factorSize=factor_size, maxIter=max_iter, seed=seed, stepSize=0.05),
-                     featuresCol=FEATURES, labelCol=LABEL, parallelism=4)
-
-
 def scored_metrics(pred: DataFrame, model_name: str, digits: int | None = 4) -> DataFrame:
     """Macro metrics of a scored DataFrame (columns _y, prediction)."""
     p = pred.select(F.col("_y").cast("int").alias("y"), F.col("prediction").cast("int").alias("p"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gradewise.functions.features import BASE_COLUMNS, FEATURE_SETS, derived
 from gradewise.operators import encode as enc
-from gradewise.operators import forests
+from gradewise.operators import factors, forests
 from gradewise.operators import models as M
 from gradewise.operators import neighbors as _neighbors
 from gradewise.operators import perceptron as nets
@@ -393,20 +393,14 @@ def q_feature_set_benchmark(spark, sf_dir, axes: dict = TUNED_RF_GRID):
 # --------------------------------------------------------- factors, PCA
 
 def category_factors(spark, sf_dir, roles: Roles) -> list[tuple[str, int, list[float]]]:
-    """Per category level, a latent vector learned by factorization machines
-    over the one-hot inputs (mean over the one-vs-rest class models)."""
+    """Per category level, its vector in one model of all classes (``operators.factors``)."""
     def build():
         a, cols = prepared(spark, sf_dir, roles, "onehot")
         dims = {r["feature"]: r["dim"] for r in embedding_dims(split_frame(spark, sf_dir), list(roles.categorical)).collect()}
-        model = M.fit(M.fm_ovr(max(dims.values()), max_iter=20), _split(a, "train")).stages[-1]
-        mats = [m.factors.toArray() for m in model.models]
-        rows = []
-        for i, c in enumerate(cols):
-            if c in roles.continuous:
-                continue
-            feat, level = c.rsplit("_", 1)
-            rows.append((feat, int(level), [float(sum(m[i, j] for m in mats) / len(mats)) for j in range(dims[feat])]))
-        return rows
+        names = [None if c in roles.continuous else c.rsplit("_", 1) for c in cols]
+        groups = {f: [i for i, n in enumerate(names) if n and n[0] == f] for f in dims}
+        fitted = factors.fit(_split(a, "train"), M.FEATURES, "_y", N_CLASSES, groups, dims)
+        return [(f, int(names[i][1]), [float(v) for v in vec]) for f, own in groups.items() for i, vec in zip(own, fitted.levels[f])]
     return _memo(spark, (sf_dir, "factors", roles), build)
 
 
