@@ -72,8 +72,9 @@ class CategoryStats:
 
 # Fitted lookups up to this many rows are applied as map literals (one
 # codegen'd projection, no join); larger ones by a broadcast hash join when
-# under BROADCAST_MAX_ROWS, else by a shuffle join.
+# under BROADCAST_MAX_ROWS, else by a shuffle join without the heavy levels.
 MAP_LITERAL_MAX_ROWS = 20_000
+HEAVY_SHARE = 1 / 200  # of the rows; a level above it is not shuffled
 
 
 def _key(value: Column, fold: Column | None, slots: int, text: bool) -> Column:
@@ -88,7 +89,7 @@ def _key(value: Column, fold: Column | None, slots: int, text: bool) -> Column:
 
 def apply_lookup(df: DataFrame, lookup: DataFrame, cols: list[str], enc_cols: list[str],
                  out_name, fold_key: Column | None = None,
-                 map_max_rows: int = MAP_LITERAL_MAX_ROWS) -> DataFrame:
+                 map_max_rows: int = MAP_LITERAL_MAX_ROWS, broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Attach ``enc_cols`` of the (feature, value[, fold]) ``lookup`` to each
     row for every categorical column in ``cols``; output columns are named
     ``out_name(col, enc_col)``.  Missing keys give NULL."""
@@ -121,12 +122,35 @@ def apply_lookup(df: DataFrame, lookup: DataFrame, cols: list[str], enc_cols: li
             _key(F.col("value"), F.col("fold") if fold_key is not None else None, slots, text).alias("_lk"),
             *[F.col(e).alias(out_name(c, e)) for e in enc_cols],
         )
-        if n <= BROADCAST_MAX_ROWS:
-            sub = F.broadcast(sub)
-        out = out.join(sub, _key(F.col(c), fold_key, slots, text) == F.col("_lk"), "left").drop("_lk")
+        key = _key(F.col(c), fold_key, slots, text)
+        if n <= broadcast_max_rows:
+            out = out.join(F.broadcast(sub), key == F.col("_lk"), "left").drop("_lk")
+        else:
+            out = lookup_join(out, sub, key)
     return out
 
 
+def heavy_keys(df: DataFrame, key: Column, share: float = HEAVY_SHARE) -> list:
+    """Keys that more than ``share`` of the rows hold, at most 1 / ``share``."""
+    counts = df.select(key.alias("_lk")).groupBy("_lk").agg(F.count(F.lit(1)).alias("n")).persist()
+    try:
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        return sorted(r["_lk"] for r in counts.filter(F.col("_lk").isNotNull() & (F.col("n") > share * total)).collect())
+    finally:
+        counts.unpersist()
+
+
+def lookup_join(df: DataFrame, sub: DataFrame, key: Column) -> DataFrame:
+    """Left join with a lookup too large to broadcast (unique ``_lk``).  Rows of
+    heavy keys meet a broadcast of those keys' lookup rows, rows without a key meet
+    nothing; only the rest is shuffled, so no task gets all rows of a level."""
+    heavy = heavy_keys(df, key)
+    often = key.isNull() | key.isin(heavy)
+    few = F.broadcast(sub.filter(F.col("_lk").isin(heavy)))
+    parts = [df.filter(often).join(few, key == F.col("_lk"), "left"), df.filter(~often).join(sub, key == F.col("_lk"), "left")]
+    return parts[0].unionByName(parts[1]).drop("_lk")
+
+
 def target_oof(df: DataFrame, roles: Roles, stats: CategoryStats | None = None) -> tuple[DataFrame, list[str]]:
     """Out-of-fold target mean for train rows, full train mean for val/test,
     global train mean for unseen levels; no smoothing."""

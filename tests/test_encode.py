@@ -102,3 +102,26 @@ def test_encoders_preserve_rows_and_ignore_partitioning(spark, kind):
     assert a.count() == base.count()
     sa, sb = a.select(R.key, *cols), b.select(R.key, *cols)
     assert sa.exceptAll(sb).count() == 0
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_lookups_agree_on_all_paths_with_a_heavy_level(spark, text):
+    from gradewise.operators import encode as enc
+
+    # a third of the rows hold level 7, some hold none, one has no lookup row
+    values = [7] * 400 + [None] * 100 + [i % 300 for i in range(700)] + [999]
+    kind = "string" if text else "long"
+    df = spark.createDataFrame(list(enumerate(values)), "i long, v long").select("i", F.col("v").cast(kind).alias("c"))
+    table = spark.range(300).select(F.lit("c").alias("feature"), F.col("id").cast(kind).alias("value"), (F.col("id") * 0.5).alias("e"))
+    name = lambda c, e: f"{c}_{e}"
+    literal = enc.apply_lookup(df, table, ["c"], ["e"], name)
+    broadcast = enc.apply_lookup(df, table, ["c"], ["e"], name, map_max_rows=0)
+    shuffled = enc.apply_lookup(df, table, ["c"], ["e"], name, map_max_rows=0, broadcast_max_rows=0)
+    rows = [sorted(map(tuple, d.collect())) for d in (x.select("i", "c_e") for x in (literal, broadcast, shuffled))]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == len(values)
+    assert rows[0][0] == (0, 3.5) and rows[0][-1] == (1200, None) and rows[0][450] == (450, None)
+    assert [str(k) for k in enc.heavy_keys(df, F.col("c"))] == ["7"]
+    plan = shuffled._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "BroadcastHashJoin" in plan
+    none = enc.apply_lookup(df.limit(0), table, ["c"], ["e"], name, map_max_rows=0, broadcast_max_rows=0)
+    assert none.count() == 0 and none.columns == ["i", "c", "c_e"]
