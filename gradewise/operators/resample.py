@@ -18,11 +18,11 @@ from gradewise.operators.neighbors import knn
 from gradewise.operators.prefix import bucketed_rank, hex_bucket
 
 
-def class_weights(counts: DataFrame, label: str) -> DataFrame:
-    """counts: label, n  ->  label, n, weight = N / (k * n)."""
-    w = Window.partitionBy(F.lit(1))
+def class_weights(counts: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """counts: *by, label, n  ->  *by, label, n, weight = N / (k * n) within ``by``."""
+    w = Window.partitionBy(*(by or [F.lit(1)]))
     return counts.select(
-        label, "n",
+        *by, label, "n",
         (F.sum("n").over(w) / (F.count(F.lit(1)).over(w) * F.col("n"))).alias("weight"),
     )
 
@@ -34,12 +34,12 @@ def weight_column(df: DataFrame, label: str, weights: DataFrame) -> Column:
     return F.coalesce(F.try_element_at(m, F.col(label)), F.lit(1.0))
 
 
-def smote_plan_counts(counts: DataFrame, label: str) -> DataFrame:
-    """label, n_before, n_synthetic, n_after (= majority count)."""
-    w = Window.partitionBy(F.lit(1))
+def smote_plan_counts(counts: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """*by, label, n_before, n_synthetic, n_after (= majority count within ``by``)."""
+    w = Window.partitionBy(*(by or [F.lit(1)]))
     mx = F.max("n").over(w)
     return counts.select(
-        label, F.col("n").alias("n_before"), (mx - F.col("n")).alias("n_synthetic"), mx.alias("n_after")
+        *by, label, F.col("n").alias("n_before"), (mx - F.col("n")).alias("n_synthetic"), mx.alias("n_after")
     )
 
 

@@ -435,27 +435,22 @@ LABEL_TARGETS = ["quality", "toxic"]
 EVENT_PAIRS = [("click", "purchase"), ("view", "purchase")]
 
 
+def _label_counts(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels").select(*LABEL_TARGETS)
+    return lab.unpivot([], LABEL_TARGETS, "target", "value").groupBy("target", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def q_class_weights_labels(spark, sf_dir):
     """Class weights n / (k * n_c) for each binary target of ``labels``."""
-    lab = table(spark, sf_dir, "labels").select(*LABEL_TARGETS)
-    counts = lab.unpivot([], LABEL_TARGETS, "target", "value").groupBy("target", "value").agg(
-        F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("target")
-    return counts.select("target", "value", "n",
-                         _r(F.sum("n").over(w) / (F.count(F.lit(1)).over(w) * F.col("n"))).alias("weight"))
+    from gradewise.operators.resample import class_weights
+    return class_weights(_label_counts(spark, sf_dir), "value", ("target",)).withColumn("weight", _r(F.col("weight")))
 
 
 def q_smote_counts_labels(spark, sf_dir):
     """SMOTE plan per binary target of ``labels``: every minority value is
     brought to the majority count."""
-    from pyspark.sql import Window
-    lab = table(spark, sf_dir, "labels").select(*LABEL_TARGETS)
-    counts = lab.unpivot([], LABEL_TARGETS, "target", "value").groupBy("target", "value").agg(
-        F.count(F.lit(1)).alias("n"))
-    mx = F.max("n").over(Window.partitionBy("target"))
-    return counts.select("target", "value", F.col("n").alias("n_before"), (mx - F.col("n")).alias("n_synthetic"),
-                         mx.alias("n_after"))
+    from gradewise.operators.resample import smote_plan_counts
+    return smote_plan_counts(_label_counts(spark, sf_dir), "value", ("target",))
 
 
 def q_profile_histogram_events(spark, sf_dir):
