@@ -1,136 +1,89 @@
-"""Exact quantiles (linear interpolation, = ``quantile_cont``) that scale.
+"""Exact quantiles (linear interpolation, = ``quantile_cont``) in two scans.
 
 ``percentile`` buffers every value of a group in one task, and a class may
-hold a third of all rows.  Here each round bins the candidate values of
-every (group, target rank), counts them (map-side partial aggregation), and
-narrows each target to the one bin that holds its rank.  Bins are of equal
-width in the first round and in every other one after it; in between they
-are cut at approximate quantiles (each a bin of its own, so ties do not hold
-the search up), so rows left shrink whatever the spacing of the values, and
-rounds go on until every target is found.  A bin that holds a single distinct value resolves at once; a
-bin with at most ``SORT_MAX`` rows is ranked with a window inside the bin.
-Only per-bin counts and the few target intervals reach the driver.
+hold a third of all rows.  Here the first scan builds a mergeable rank sketch
+per group (``percentile_approx``, rank error at most n / ``ACCURACY``) and reads
+from it a bracket of values around every target rank.  The second scan counts
+each distinct value inside a bracket and all values of a gap between brackets
+together (map-side partial aggregation), so what is left to sort is a few
+ten-thousandths of the rows.  Running sums of those counts give exact ranks; a
+target whose rank lies in a bracket is found.  Should a sketch have missed, the
+rank lies in a gap, and the second scan is repeated with brackets ``WIDEN``
+times as wide, up to the whole range, so the result is exact in any case.
+Everything stays in Spark; the driver sees counts only.
+
+Null and NaN values take no part; a null group is a group like any other.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradewise.session import bounded_broadcast
+from gradewise.operators.prefix import running_sum_by_bins
+from gradewise.session import bounded_broadcast, ensure_checkpoint_dir
 
-N_BINS = 1024
-N_CUTS = 64
-SORT_MAX = 200_000
+ACCURACY = 10_000
+MARGIN = 2.0 / ACCURACY  # share of ranks on either side of a target that its bracket covers at first
+WIDEN = 50
+SORT_MAX = 200_000  # rows ranked by one window per group; beyond it ranges of values are ranked apart
 
 
 def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs: list[float]) -> DataFrame:
     """Returns *group_cols, q (double), value (double), n (long)."""
-    spark = SparkSession.getActiveSession() or df.sparkSession
-    d = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).filter(
+    ensure_checkpoint_dir(df.sparkSession)
+    d = df.select(F.struct(F.lit(0).alias("all"), *group_cols).alias("_g"), F.col(value_col).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
-    stats = d.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()
-
-    # Each target: a rank r (0-based) in group g.  Interpolation needs ranks
-    # floor(pos) and ceil(pos) with pos = (n - 1) * q.
-    targets = {}  # (gkey, rank) -> dict(lo, hi, base)
-    wanted = []
-    for s in stats:
-        gkey = tuple(s[c] for c in group_cols)
-        n = int(s["n"])
-        for q in probs:
-            pos = (n - 1) * q
-            r_lo, r_hi = math.floor(pos), math.ceil(pos)
-            wanted.append((gkey, q, n, r_lo, r_hi, pos - r_lo))
-            for r in (r_lo, r_hi):
-                targets.setdefault((gkey, r), {"lo": s["lo"], "hi": s["hi"], "base": 0, "value": None})
-    for turn in itertools.count():
-        open_t = [(k, t) for k, t in targets.items() if t["value"] is None]
-        if not open_t:
+    groups = [F.col("_g")[c].alias(c) for c in group_cols]
+    margin = MARGIN
+    sketch, n_groups = _sketch(d, probs, margin)
+    while True:
+        found = _ranked(d, sketch, n_groups).checkpoint()
+        if margin >= 1 or not found.filter("_missed").limit(1).count():
             break
-        for k, t in open_t:
-            if t["lo"] == t["hi"]:
-                t["value"] = t["lo"]
-        open_t = [(k, t) for k, t in open_t if t["value"] is None]
-        if not open_t:
-            break
-        # one interval per distinct (group, lo, hi); several ranks may share it
-        intervals = {}
-        for (gkey, r), t in open_t:
-            intervals.setdefault((gkey, t["lo"], t["hi"], t["base"]), []).append(r)
-        iv_rows = [(*g, i, float(lo), float(hi)) for i, (g, lo, hi, _b) in enumerate(intervals)]
-        iv = spark.createDataFrame(iv_rows, schema=_iv_schema(df, group_cols))
-        j = d.join(bounded_broadcast(iv, len(iv_rows)), group_cols).filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-        width = F.col("_hi") / 2 - F.col("_lo") / 2  # halves: the whole range may not fit a double
-        if turn % 2 == 0:
-            binned = j.withColumn("_b", F.least(F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / width * N_BINS), F.lit(N_BINS - 1)).cast("int"))
-        else:
-            cuts = j.groupBy("_iv").agg(F.percentile_approx("_v", [i / N_CUTS for i in range(N_CUTS + 1)], 10_000).alias("_s"))
-            below = F.size(F.filter("_s", lambda x: x < F.col("_v")))
-            binned = (j.join(bounded_broadcast(cuts.withColumn("_s", F.array_distinct("_s")), len(iv_rows)), "_iv")
-                      .withColumn("_b", 2 * below + F.array_contains("_s", F.col("_v")).cast("int")))
-        bins = binned.groupBy("_iv", "_b").agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("mn"), F.max("_v").alias("mx")).collect()
-        by_iv: dict[int, list] = {}
-        for b in bins:
-            by_iv.setdefault(b["_iv"], []).append(b)
-        to_sort = []
-        for i, (key, ranks) in enumerate(intervals.items()):
-            gkey, _lo, _hi, base = key
-            rows = sorted(by_iv.get(i, []), key=lambda b: b["_b"])
-            off = base
-            for b in rows:
-                for r in ranks:
-                    t = targets[(gkey, r)]
-                    if t["value"] is None and off <= r < off + b["c"] and (t["lo"], t["hi"], t["base"]) == (_lo, _hi, base):
-                        if b["mn"] == b["mx"]:
-                            t["value"] = b["mn"]
-                        elif b["c"] <= SORT_MAX:
-                            to_sort.append((gkey, r, float(b["mn"]), float(b["mx"]), off))
-                            t["pending"] = True
-                        else:
-                            t.update(lo=b["mn"], hi=b["mx"], base=off)
-                off += b["c"]
-        if to_sort:
-            _resolve_by_sort(spark, d, df, group_cols, to_sort, targets)
-    out = []
-    for gkey, q, n, r_lo, r_hi, frac in wanted:
-        v_lo, v_hi = targets[(gkey, r_lo)]["value"], targets[(gkey, r_hi)]["value"]
-        val = v_lo + frac * (v_hi - v_lo) if frac else v_lo
-        out.append((*gkey, float(q), float(val), int(n)))
-    schema = _iv_schema(df, group_cols, result=True)
-    return spark.createDataFrame(out, schema=schema)
-
+        margin *= WIDEN
+        sketch, n_groups = _sketch(d, probs, margin)
+    low, high = (F.max(F.when(F.col("_t.upper") == u, F.col("_value"))) for u in (False, True))
+    out = found.groupBy("_g", F.col("_t.q").alias("q")).agg(low.alias("_low"), high.alias("_high"), F.max("_t.share").alias("_share"), F.max("n").alias("n"))
+    between = F.when(F.col("_share") == 0, F.col("_low")).otherwise(F.col("_low") + F.col("_share") * (F.col("_high") - F.col("_low")))
+    return out.select(*groups, "q", between.alias("value"), "n")
 
-def _resolve_by_sort(spark, d, df, group_cols, to_sort, targets):
-    """Rank rows inside small bins with a window partitioned per bin."""
-    bins = {}
-    for gkey, r, mn, mx, off in to_sort:
-        bins.setdefault((gkey, mn, mx, off), []).append(r)
-    rows = [(*g, i, mn, mx) for i, (g, mn, mx, _o) in enumerate(bins)]
-    iv = spark.createDataFrame(rows, schema=_iv_schema(df, group_cols))
-    j = d.join(bounded_broadcast(iv, len(rows)), group_cols).filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-    want = []
-    for i, (key, ranks) in enumerate(bins.items()):
-        off = key[3]
-        want += [(i, r - off) for r in ranks]
-    wdf = spark.createDataFrame(want, "_iv int, _pos long")
-    ranked = j.withColumn("_pos", (F.row_number().over(Window.partitionBy("_iv").orderBy("_v")) - 1).cast("long"))
-    got = ranked.join(bounded_broadcast(wdf, len(want)), ["_iv", "_pos"]).select("_iv", "_pos", "_v").collect()
-    keys = list(bins)
-    for g in got:
-        gkey, _mn, _mx, off = keys[g["_iv"]]
-        targets[(gkey, g["_pos"] + off)]["value"] = g["_v"]
 
+def _sketch(d: DataFrame, probs: list[float], margin: float) -> tuple[DataFrame, int]:
+    """One row per group: ``n``, ``_los`` and ``_his`` (borders of the brackets)
+    and ``_targets`` (the ranks, from 0, on either side of each quantile)."""
+    asked = [min(max(p, 0.0), 1.0) for q in probs for p in (q - margin, q + margin)]
+    s = F.col("_s")
+    los = [F.lit(float("-inf")) if q - margin <= 0 else s[2 * i] for i, q in enumerate(probs)]
+    his = [F.lit(float("inf")) if q + margin >= 1 else s[2 * i + 1] for i, q in enumerate(probs)]
+    targets = []
+    for q in probs:
+        place = (F.col("n") - 1) * F.lit(float(q))
+        for upper, rank in ((False, F.floor(place)), (True, F.ceil(place))):
+            targets.append(F.struct(F.lit(float(q)).alias("q"), F.lit(upper).alias("upper"), rank.cast("long").alias("rank"),
+                                    (place - F.floor(place)).alias("share")))
+    out = (d.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", asked, ACCURACY).alias("_s"))
+           .select("_g", "n", F.array(*los).alias("_los"), F.array(*his).alias("_his"), F.array(*targets).alias("_targets")).checkpoint())
+    return out, out.count()
 
-def _iv_schema(df: DataFrame, group_cols: list[str], result: bool = False):
-    from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-    fields = [StructField(c, df.schema[c].dataType) for c in group_cols]
-    if result:
-        return StructType(fields + [StructField("q", DoubleType()), StructField("value", DoubleType()),
-                                    StructField("n", LongType())])
-    return StructType(fields + [StructField("_iv", IntegerType()), StructField("_lo", DoubleType()),
-                                StructField("_hi", DoubleType())])
+def _ranked(d: DataFrame, sketch: DataFrame, n_groups: int) -> DataFrame:
+    """Every target with the value at its rank (``_missed``: the rank lies
+    among the different values of a gap)."""
+    v = F.col("_v")
+    inside = F.exists(F.arrays_zip("_los", "_his"), lambda b: (b["_los"] <= v) & (v <= b["_his"]))
+    held = d.join(bounded_broadcast(sketch.select("_g", "_los", "_his"), n_groups), "_g")
+    # a gap is known by the number of brackets that end below it
+    gap = F.when(inside, F.lit(-1)).otherwise(F.size(F.filter("_his", lambda h: h < v)))
+    counts = (held.select("_g", v, gap.alias("_gap"), F.when(inside, v).alias("_own"))
+              .groupBy("_g", "_gap", "_own").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_last"))
+              .select("_g", "_c", "_least", "_last").checkpoint())
+    if counts.count() <= SORT_MAX:
+        upto = Window.partitionBy("_g").orderBy("_last").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = counts.withColumn("cum__c", F.sum("_c").over(upto))
+    else:
+        summed = running_sum_by_bins(counts, ["_g"], "_last", ["_c"])
+    below = F.col("cum__c") - F.col("_c")
+    summed = (summed.join(bounded_broadcast(sketch.select("_g", "n", "_targets"), n_groups), "_g")
+              .withColumn("_hit", F.filter("_targets", lambda t: (below <= t["rank"]) & (t["rank"] < F.col("cum__c")))))
+    return summed.select("_g", "n", F.explode("_hit").alias("_t"), F.col("_last").alias("_value"), (F.col("_least") < F.col("_last")).alias("_missed"))

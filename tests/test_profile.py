@@ -19,10 +19,9 @@ def test_exact_quantiles_match_numpy(spark):
             assert got[(grp, q)] == pytest.approx(np.percentile(sub, q * 100), abs=1e-12)
 
 
-def test_exact_quantiles_refinement_with_small_sort_limit(spark, monkeypatch):
+def test_exact_quantiles_rank_ranges_apart_beyond_the_sort_limit(spark, monkeypatch):
     import gradewise.operators.quantiles as qm
     monkeypatch.setattr(qm, "SORT_MAX", 3)
-    monkeypatch.setattr(qm, "N_BINS", 4)
     vals = [float(x) for x in np.random.default_rng(2).exponential(size=400)]
     df = spark.createDataFrame([("k", v) for v in vals], "g string, v double")
     got = {r["q"]: r["value"] for r in qm.exact_quantiles(df, ["g"], "v", [0.1, 0.5, 0.99]).collect()}
@@ -30,6 +29,36 @@ def test_exact_quantiles_refinement_with_small_sort_limit(spark, monkeypatch):
         assert got[q] == pytest.approx(np.percentile(vals, q * 100), abs=1e-12)
 
 
+def test_exact_quantiles_widen_brackets_that_a_sketch_missed(spark, monkeypatch):
+    import gradewise.operators.quantiles as qm
+    monkeypatch.setattr(qm, "ACCURACY", 20)  # rank error of a twentieth, far above the margin
+    df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"), F.hash("id").cast("double").alias("v"))
+    rows = df.collect()
+    for r in qm.exact_quantiles(df, ["g"], "v", [0.1, 0.5, 0.75]).collect():
+        v = [x["v"] for x in rows if x["g"] == r["g"]]
+        assert r["value"] == pytest.approx(np.percentile(v, r["q"] * 100), abs=1e-6) and r["n"] == len(v)
+
+
+def test_exact_quantiles_scan_the_input_twice(spark):
+    """Whatever the spacing of values, and with null groups, NaN and infinities."""
+    looked = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            looked.add(b.num_rows)
+            yield b
+
+    inf = float("inf")
+    vals = [10.0 ** (e / 10) for e in range(-3000, 3000)]
+    rows = [("a", v) for v in vals] + [(None, 1.0), (None, 4.0), ("i", -inf), ("i", 2.0), ("i", inf), ("n", float("nan")), ("n", None)]
+    df = spark.createDataFrame(rows, "g string, v double").mapInArrow(look, "g string, v double")
+    got = {(r["g"], r["q"]): r["value"] for r in exact_quantiles(df, ["g"], "v", [0.25, 0.5]).collect()}
+    assert looked.value == 2 * len(rows)
+    assert got[None, 0.5] == 2.5 and got["i", 0.5] == 2.0 and ("n", 0.5) not in got
+    assert got["a", 0.25] == pytest.approx(np.percentile(vals, 25), rel=1e-12)
+    assert exact_quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
+
+
 def test_histogram_counts_cover_rows(spark):
     df = spark.range(0, 1000).select(F.col("id").cast("double").alias("x"))
     h = prof.histogram(df, ["x"], 20).collect()
