@@ -25,7 +25,7 @@ from gradewise.operators import rules
 from gradewise.operators import split as _split
 from gradewise.operators.scale import apply_standard, fit_standard
 from gradewise.operators.separability import auc_binary, ks_two_sample
-from gradewise.operators.split import stratified_split
+from gradewise.operators.split import selected_split, stratified_split
 from gradewise.roles import STUDENT_ROLES
 from gradewise.session import shared_path
 from gradewise.sources import standin as _standin
@@ -477,7 +477,7 @@ def embedding_split(spark, sf_dir) -> DataFrame:
     def split() -> DataFrame:
         e = table(spark, sf_dir, "embeddings").select(
             "vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
-        return stratified_split(e, roles)
+        return selected_split(e, roles)
 
     return materialized(spark, "embedding_split", (_split, _prefix), [f"{sf_dir.rstrip('/')}/embeddings.parquet"], split)
 

@@ -1,7 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
-from gradewise.operators.split import stratified_split
+from gradewise.operators import split as split_module
+from gradewise.operators.split import selected_split, stratified_split
 from gradewise.roles import STUDENT_ROLES as R
+from gradewise.roles import Roles
 from gradewise.sources.standin import student_table
 
 from conftest import SF_SMALL
@@ -38,3 +41,25 @@ def test_folds_balanced_per_class(spark):
         by.setdefault(r["GradeClass"], []).append(r["count"])
     for counts in by.values():
         assert len(counts) == 5 and max(counts) - min(counts) <= 1
+
+
+@pytest.mark.parametrize("literals", [1_000, 2])
+def test_selected_split_is_the_ranked_one(spark, monkeypatch, literals):
+    monkeypatch.setattr(split_module, "LITERAL_CLASSES", literals)
+    roles = Roles(key="k", label="y", continuous=(), categorical=())
+    sizes = {"one": 1, "two": 2, "three": 3, "seven": 7, "many": 4000, None: 5}
+    rows = [(f"{y}-{i}" if i != 3 else None, y, i) for y, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, y string, x int")
+    want = stratified_split(df, roles).select("k", "y", "x", "split")
+    got = selected_split(df.repartition(5), roles)
+    assert got.columns == ["k", "y", "x", "split"]
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert selected_split(df.limit(0), roles).count() == 0
+
+
+def test_selected_split_neither_shuffles_nor_joins(spark):
+    df = student_table(spark, SF_SMALL).checkpoint()
+    out = selected_split(df, R)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [w for w in ("Exchange", "Window", "Join", "Sort") if w in plan]
+    assert out.select(R.key, "split").exceptAll(stratified_split(df, R).select(R.key, "split")).count() == 0
