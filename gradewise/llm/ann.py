@@ -1,21 +1,24 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Each of ``TABLES`` tables hashes a vector by ``HASHES`` Gaussian projections, cut into
-slots of a width fitted to the data; a row is stored in one bucket per table.
-The projections of two vectors at distance d differ by a normal variable of
-deviation d, so for a query the chance that a neighbour lies in a bucket at any
+Each table hashes a vector by Gaussian projections, cut into slots; a row is stored in
+one bucket per table.  The projections of two vectors at distance d differ by a normal
+variable of deviation d, so for a query the chance that a neighbour lies in a bucket at any
 slot offsets is known, and buckets are visited in the order of that chance
-until the tables together reach ``RECALL``.  There is no cap on probes or
-candidates: the candidates of a visited bucket are all compared exactly, and only a
+until the tables together reach ``RECALL`` (offsets over 4.5 deviations, some 10^-5 of the chance, aside).
+The candidates of a visited bucket are all compared exactly, and only a
 query's best ``k`` leave a task.
 
-The scale (the distance of a k-th neighbour) is fitted on ``SAMPLE`` rows at
-most, where it is larger than among all rows, so the search errs towards more
-probes.  Buckets over ``BUCKET`` rows are divided by row, and a query visits
+The scale is the distance of the k-th neighbour that ``SCALE`` of ``FITTED`` rows have, found exactly among all
+rows.  Tables, projections per table and slot width are then the ones of least estimated work: rows
+compared (their share measured on ``SAMPLE`` rows at most, times the number of rows), buckets
+visited and rows stored.  The more rows, the more projections pay.  Where neighbours are hardly nearer than
+other rows (vectors without clusters in many dimensions), every hashing at this recall visits most rows; ``compared`` tells.
+
+Buckets over ``BUCKET`` rows are divided by row, and a query visits
 every part.  Of identical vectors the k + 1 smallest ids can ever be in a result, so
 more are not indexed.  Queries whose k-th found neighbour is farther than the scale probe
 again at that distance; those left with fewer than k neighbours, or with one farther than
-``WIDER`` scales, are searched against all rows, in blocks.
+``wider`` scales (where buckets to visit would be too many), are searched against all rows, in blocks.
 
 Defined cases: vectors that are null, empty, zero, of another length than most rows',
 or that hold null or non-finite components take no part, nor do null ids; rows that share
@@ -36,13 +39,15 @@ from pyspark.sql import functions as F
 from gradewise.llm.tables import written
 
 K = 10
-TABLES = 3
-HASHES = 4
-REACH = 4  # slot offsets on either side that a probe may have
-WIDTH = 1.0  # slot width in neighbour distances
 RECALL = 0.97
-WIDER = 2.0  # times the fitted distance that probes reach; queries with farther neighbours are searched exactly
-SAMPLE = 2_000
+SCALE = 0.9  # share of rows whose k-th neighbour is within the scale
+FITTED = 200  # rows whose k-th neighbour is searched exactly to fit the scale
+SAMPLE = 10_000  # rows on which shares of visited rows are measured
+TRIED = 8  # queries a choice is measured with
+CHOICES = [(hashes, width) for hashes in (4, 6, 8, 10, 12) for width in (1.0, 2.0, 3.0)]  # width in scales
+TABLES = (2, 3, 4, 6)
+PROBES = 4_096  # buckets a table that a choice may need at the scale; visits themselves have no limit
+PROBE_WORK, STORE_WORK = 10, 100  # work of a visit and of a stored row, in distances
 BUCKET = 50_000
 QUERY_BLOCK = 2_048
 SEED = 7
@@ -53,43 +58,99 @@ _NORMAL = np.vectorize(math.erf)
 class Hashes:
     """Projections, offsets and slot width of all tables."""
 
-    def __init__(self, dimension: int, distance: float, seed: int = SEED) -> None:
+    def __init__(self, dimension: int, distance: float, tables: int, hashes: int, width: float, seed: int = SEED) -> None:
         rng = np.random.default_rng(seed)
-        self.distance = distance
-        self.width = WIDTH * distance
-        self.lines = rng.standard_normal((TABLES * HASHES, dimension))
-        self.offsets = rng.uniform(0, self.width, TABLES * HASHES)
-        self.step = rng.integers(1 << 62, size=HASHES, dtype=np.int64) | 1
-        axis = np.arange(-REACH, REACH + 1)
-        self.moves = np.stack(np.meshgrid(*[axis] * HASHES, indexing="ij"), axis=-1).reshape(-1, HASHES)
-        #: chance that a table must reach so that all miss a neighbour with 1 - RECALL
-        self.success = 1 - (1 - RECALL) ** (1 / TABLES)
+        self.distance, self.tables, self.hashes = distance, tables, hashes
+        self.width = width * distance
+        self.wider = 1.0  # times the scale that probes reach
+        self.lines = rng.standard_normal((tables * hashes, dimension))
+        self.offsets = rng.uniform(0, self.width, tables * hashes)
+        self.step = rng.integers(1 << 62, size=hashes, dtype=np.int64) | 1
 
     def project(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.lines.T + self.offsets) / self.width
+        return ((x @ self.lines.T + self.offsets) / self.width).reshape(-1, self.tables, self.hashes)
 
     def key(self, slots: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return (slots.astype(np.int64) * self.step).sum(axis=-1)
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
-        slots = np.floor(self.project(x)).reshape(len(x), TABLES, HASHES)
-        return self.key(slots)
+        return self.key(np.floor(self.project(x)))
 
-    def probes(self, x: np.ndarray, distance: float) -> Iterator[tuple[int, np.ndarray]]:
-        """(table, bucket keys in order of estimated success) of one query whose
-        neighbours are ``distance`` away."""
-        place = self.project(x[None, :]).reshape(TABLES, HASHES)
+    def visits(self, place: np.ndarray, distance: float, success: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+        """Bucket keys of a table in order of estimated success, until ``success``, and the
+        chance reached with each, for a query at ``place``; None if there are over ``most``.
+
+        The best combinations of all projections begin with best combinations of the first ones, so
+        only as many as are wanted are carried from projection to projection."""
         slot = np.floor(place)
-        edge = np.arange(-REACH, REACH + 2)[None, None, :] + (slot - place)[:, :, None]
-        below = 0.5 * (1 + _NORMAL(edge * self.width / (distance * math.sqrt(2))))
-        chance = np.log(np.maximum(np.diff(below, axis=2), 1e-300))  # table x hash x offset
-        for t in range(TABLES):
-            total = sum(chance[t, h][self.moves[:, h] + REACH] for h in range(HASHES))
+        reach = math.ceil(4.5 * distance / self.width) + 1
+        moves = np.arange(-reach, reach + 1, dtype=np.int64)
+        edge = np.arange(-reach, reach + 2)[None, :] + (slot - place)[:, None]
+        chance = np.log(np.maximum(np.diff(0.5 * (1 + _NORMAL(edge * self.width / (distance * math.sqrt(2)))), axis=1), 1e-300))
+        carried = 256
+        while True:
+            total, key, whole = np.zeros(1), np.zeros(1, np.int64), True
+            for h in range(self.hashes):
+                total = (total[:, None] + chance[h][None, :]).ravel()
+                with np.errstate(over="ignore"):
+                    key = (key[:, None] + (moves * self.step[h])[None, :]).ravel()
+                if len(total) > carried:
+                    best = np.argpartition(-total, carried - 1)[:carried]
+                    total, key, whole = total[best], key[best], False
             order = np.argsort(-total, kind="stable")
             reached = np.cumsum(np.exp(total[order]))
-            n = int(np.searchsorted(reached, min(self.success, reached[-1]))) + 1
-            yield t, self.key(slot[t][None, :] + self.moves[order[:n]])
+            if whole or reached[-1] >= success:
+                break
+            if most and carried > most:
+                return None
+            carried *= 4
+        n = int(np.searchsorted(reached, min(success, reached[-1]))) + 1
+        if most and n > most:
+            return None
+        with np.errstate(over="ignore"):
+            return key[order[:n]] + self.key(slot), reached[:n]
+
+    def probes(self, x: np.ndarray, distance: float) -> Iterator[tuple[int, np.ndarray]]:
+        """(table, bucket keys) that one query visits whose neighbours are ``distance`` away."""
+        place = self.project(x[None, :])[0]
+        for t in range(self.tables):
+            yield t, self.visits(place[t], distance, success(self.tables))[0]
+
+
+def success(tables: int) -> float:
+    """Chance that each table must reach so that all miss a neighbour with 1 - RECALL."""
+    return 1 - (1 - RECALL) ** (1 / tables)
+
+
+def fitted(sample: np.ndarray, kth: np.ndarray, rows: int, queries: int) -> Hashes:
+    """The hashing of least estimated work a query, given distances of some k-th neighbours."""
+    dimension = sample.shape[1]
+    distance = float(np.quantile(kth, SCALE)) or float(kth.max()) or 1.0
+    best: tuple[float, int, int, float, float] | None = None
+    asked = sample[:: max(1, len(sample) // TRIED)][:TRIED]
+    for hashes, width in CHOICES:
+        h = Hashes(dimension, distance, 1, hashes, width)
+        own, places = h.buckets(sample)[:, 0], h.project(asked)[:, 0]
+        found = [h.visits(p, distance, success(min(TABLES)), PROBES) for p in places]
+        if any(f is None for f in found):
+            continue
+        wider = 1.0
+        for w in (1.25, 1.5, 2.0):
+            if any(h.visits(p, w * distance, success(min(TABLES)), 4 * PROBES) is None for p in places[:3]):
+                break
+            wider = w
+        for tables in TABLES:
+            cut = [keys[:int(np.searchsorted(reached, min(success(tables), reached[-1]))) + 1] for keys, reached in found]
+            share = float(np.mean([np.isin(own, keys).mean() for keys in cut]))
+            share = 1 - (1 - share) ** tables + float(np.mean(kth > wider * distance))
+            work = share * rows + PROBE_WORK * tables * float(np.mean([len(c) for c in cut])) + STORE_WORK * tables * rows / max(queries, 1)
+            if best is None or work < best[0]:
+                best = (work, tables, hashes, width, wider)
+    _, tables, hashes, width, wider = best or (0.0, min(TABLES), *CHOICES[0], 1.0)
+    out = Hashes(dimension, distance, tables, hashes, width)
+    out.wider = wider
+    return out
 
 
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
@@ -135,25 +196,29 @@ def _packed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, v binary")
 
 
-def neighbour_distance(rows: DataFrame, dimension: int, k: int) -> float:
-    """Upper quartile of the k-th neighbour's distance among a sample."""
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+def _sample(rows: DataFrame, dimension: int, n: int) -> DataFrame:
+    return rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n)
+
+
+def fit(base: DataFrame, dimension: int, k: int, rows: int, queries: int) -> Hashes:
+    """Scale and hashing for the packed rows ``base``."""
+    sample = _sample(base, dimension, SAMPLE).collect()
     x = np.frombuffer(b"".join(r["v"] for r in sample), np.float64).reshape(-1, dimension)
-    x = np.unique(x, axis=0)
-    if len(x) < 2:
-        return float(np.linalg.norm(x[0])) or 1.0
-    q = x[::max(1, len(x) // 400)]
-    d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0))
-    return float(np.quantile(np.sort(d, axis=1)[:, min(k, len(x) - 1)], 0.75)) or 1.0
+    near = (_exact(base, _sample(base, dimension, FITTED), dimension, k, FOUND).where(F.col("score") > 0).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+            .groupBy("query_id").agg(F.sort_array(F.collect_list("score")).alias("s")).collect())
+    kth = np.array([r["s"][min(k, len(r["s"])) - 1] for r in near] or [float(np.linalg.norm(x[0]))])
+    return fitted(x, kth, rows, queries)
+
+
+FOUND = "query_id long, vec_id long, score double, compared long"
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the nearest found of every row of
-    ``queries`` (``vec_id, embedding``) among ``vectors``."""
+    """``query_id, rank, vec_id, score, compared``: the nearest found of every row of
+    ``queries`` (``vec_id, embedding``) among ``vectors``, and the distances computed for the query."""
     spark = vectors.sparkSession
     rows, dimension = valid_vectors(vectors)
-    schema = "query_id long, vec_id long, score double"
-    final = "query_id long, rank int, vec_id long, score double"
+    final = "query_id long, rank int, vec_id long, score double, compared long"
     if not dimension:
         return spark.createDataFrame([], final)
     distinct = (rows.dropDuplicates(["vec_id", "embedding"])
@@ -162,16 +227,16 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     base = written(_packed(distinct), "ann-rows")
     asked = written(_packed(valid_vectors(queries)[0].where(F.size("embedding") == dimension)
                             .dropDuplicates(["vec_id", "embedding"])), "ann-queries")
-    hashes = Hashes(dimension, neighbour_distance(base, dimension, k))
     total = base.count()
+    hashes = fit(base, dimension, k, total, asked.count())
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(2 * partitions, math.ceil(total * TABLES / BUCKET))
+    groups = max(2 * partitions, math.ceil(total * hashes.tables / BUCKET))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(at, 2048) for at in range(0, batch.num_rows, 2048)):
                 keys = hashes.buckets(_matrix(part.column("v"), dimension))
-                for t in range(TABLES):
+                for t in range(hashes.tables):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, np.int32)), pa.array(keys[:, t]),
                                                       part.column("vec_id"), part.column("v")], ["t", "key", "vec_id", "v"])
 
@@ -200,7 +265,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         large, index = None, index.withColumn("part", F.lit(0).cast("long"))
     group = F.pmod(F.xxhash64("t", "key", "part"), F.lit(groups))
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[int, int | None, float | None, int | None]] = []
         if left.num_rows and right.num_rows:
             t, key, part, ids = (right.column(c).to_numpy() for c in ("t", "key", "part", "vec_id"))
             x = _matrix(right.column("v"), dimension)
@@ -215,9 +280,10 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                     take = np.concatenate([np.arange(a, z) for a, z in spans])
                     take = take[np.unique(number[take], return_index=True)[1]]  # several tables may give a candidate
                     found, d = nearest(ids[take], x[take], query, np.frombuffer(raw, np.float64), k)
-                    out += zip([query] * len(found), found.tolist(), d.tolist())
-        return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()),
-                         "score": pa.array([o[2] for o in out], pa.float64())})
+                    out.append((query, None, None, len(take)))
+                    out += zip([query] * len(found), found.tolist(), d.tolist(), [None] * len(found))
+        return pa.table([pa.array([o[c] for o in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))],
+                        names=["query_id", "vec_id", "score", "compared"])
 
     def visited(queries: DataFrame) -> DataFrame:
         asks = queries.mapInArrow(probe, "t int, key long, query_id long, v binary")
@@ -229,22 +295,24 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         # a query's vector goes once to each group, with the buckets it visits there
         asks = (asks.withColumn("g", group).groupBy("g", "query_id", "v")
                 .agg(F.collect_list(F.struct("t", "key", "part")).alias("visits")))
-        return written(asks.groupBy("g").cogroup(index.withColumn("g", group).groupBy("g")).applyInArrow(search, schema), "ann-found")
+        return written(asks.groupBy("g").cogroup(index.withColumn("g", group).groupBy("g")).applyInArrow(search, FOUND), "ann-found")
 
-    found = visited(asked.withColumn("d", F.lit(hashes.distance))).distinct()
+    found = visited(asked.withColumn("d", F.lit(hashes.distance)))
     need = min(k, max(total - 1, 0))
     # where the k-th found is farther than the fitted distance, fewer buckets were visited than RECALL needs
-    kth = found.groupBy("query_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("score")).alias("scores"))
+    kth = found.where("vec_id is not null").select("query_id", "vec_id", "score").distinct().groupBy("query_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("score")).alias("scores"))
     state = written(asked.join(kth, F.col("vec_id") == F.col("query_id"), "left")
                     .select("vec_id", "v", (F.coalesce("n", F.lit(0)) < need).alias("few"), F.get("scores", F.lit(max(need - 1, 0))).alias("d")), "ann-state")
-    limit = WIDER * hashes.distance
+    limit = hashes.wider * hashes.distance
     far = state.where(~F.col("few") & (F.col("d") > hashes.distance) & (F.col("d") <= limit)).select("vec_id", "v", "d")
     if far.limit(1).count():
         found = found.unionByName(visited(far))
     short = state.where(F.col("few") | (F.col("d") > limit)).select("vec_id", "v")
-    found = found.unionByName(_exact(base, short, dimension, k, schema)).distinct()
+    found = written(found.unionByName(_exact(base, short, dimension, k, FOUND)), "ann-all")
+    work = found.groupBy("query_id").agg(F.sum("compared").alias("compared"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.where("vec_id is not null").select("query_id", "vec_id", "score").distinct().withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.join(work, "query_id").select("query_id", "rank", "vec_id", "score", "compared")
 
 
 def row_numbers(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -267,12 +335,13 @@ def _exact(base: DataFrame, asked: DataFrame, dimension: int, k: int, schema: st
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, x = batch.column("vec_id").to_numpy(), _matrix(batch.column("v"), dimension)
-                rows = []
+                rows: list[tuple[int, int | None, float | None, int | None]] = []
                 for query, raw in shared.value:
                     found, d = nearest(ids, x, query, np.frombuffer(raw, np.float64), k)
-                    rows += zip([query] * len(found), found.tolist(), d.tolist())
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                                                  pa.array([r[2] for r in rows], pa.float64())], ["query_id", "vec_id", "score"])
+                    rows.append((query, None, None, len(ids)))
+                    rows += zip([query] * len(found), found.tolist(), d.tolist(), [None] * len(found))
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))],
+                                                 ["query_id", "vec_id", "score", "compared"])
 
         out = out.unionByName(base.mapInArrow(scan, schema))
     return out

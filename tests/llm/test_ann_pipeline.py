@@ -88,6 +88,40 @@ def test_recall_of_queries_in_sparse_regions(spark):
     assert hit >= 0.96 * 10 * len(asked)
 
 
+def test_clustered_rows_are_found_among_a_tenth(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(0, 1, (400, 32))[rng.integers(400, size=20_000)] + rng.normal(0, 0.2, (20_000, 32))
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    got = ann.neighbours(v, v.where("vec_id % 100 = 0")).collect()
+    asked = range(0, 20_000, 100)
+    found = {(r["query_id"], r["vec_id"]) for r in got}
+    hit = 0
+    for q in asked:
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hit += sum((q, int(i)) in found for i in np.argpartition(d, 10)[:10])
+    assert hit >= 0.95 * 10 * len(asked)
+    compared = {r["query_id"]: r["compared"] for r in got}
+    assert len(compared) == len(asked) and sum(compared.values()) < 0.1 * len(x) * len(asked)
+
+
+@pytest.mark.parametrize("hashes,width", [(3, 1.0), (5, 2.0)])
+def test_visits_follow_the_estimated_chance(hashes, width):
+    """Against the whole grid of slots: the same chances in the same order."""
+    h = ann.Hashes(6, 0.7, 2, hashes, width)
+    place = h.project(np.random.default_rng(3).normal(size=(1, 6)))[0][1]
+    keys, reached = h.visits(place, 0.9, 0.8)
+    grid = np.stack(np.meshgrid(*[np.arange(-8, 9) if hashes == 3 else np.arange(-4, 5)] * hashes, indexing="ij"), axis=-1).reshape(-1, hashes)
+    low = (grid - (place - np.floor(place))) * h.width / (0.9 * np.sqrt(2))
+    chance = np.prod(0.5 * (ann._NORMAL(low + h.width / (0.9 * np.sqrt(2))) - ann._NORMAL(low)), axis=1)
+    want = np.cumsum(np.sort(chance)[::-1])
+    n = int(np.searchsorted(want, 0.8)) + 1
+    assert len(keys) == n and reached == pytest.approx(want[:n], abs=1e-9)
+    best = np.argsort(-chance, kind="stable")[:20]
+    assert set(keys[:19].tolist()) <= set(h.key(np.floor(place) + grid[best]).tolist())
+    assert h.visits(place, 0.9, 0.8, most=2) is None
+
+
 def test_pipeline_against_brute_force(spark):
     """Every stage against a plain version on the stage's own input."""
     from tests.llm.test_dedup import brute_substring
