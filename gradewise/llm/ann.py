@@ -14,7 +14,7 @@ compared (their share measured on ``SAMPLE`` rows at most, times the number of r
 visited and rows stored.  The more rows, the more projections pay.  Where neighbours are hardly nearer than
 other rows (vectors without clusters in many dimensions), every hashing at this recall visits most rows; ``compared`` tells.
 
-Buckets over ``BUCKET`` rows are divided by row, and a query visits
+Buckets over an even share of the rows (``BUCKET`` at most) are divided by row, and a query visits
 every part.  Of identical vectors the k + 1 smallest ids can ever be in a result, so
 more are not indexed.  Queries whose k-th found neighbour is farther than the scale probe
 again at that distance; those left with fewer than k neighbours, or with one farther than
@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewise.llm.tables import written
+from gradewise.session import bounded_broadcast
 
 K = 10
 RECALL = 0.97
@@ -49,6 +50,7 @@ TABLES = (2, 3, 4, 6)
 PROBES = 4_096  # buckets a table that a choice may need at the scale; visits themselves have no limit
 PROBE_WORK, STORE_WORK = 10, 100  # work of a visit and of a stored row, in distances
 BUCKET = 50_000
+LEAST = 256  # rows below which a bucket is never divided
 QUERY_BLOCK = 2_048
 SEED = 7
 
@@ -255,10 +257,12 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                                                   pa.array(v, pa.binary())], ["t", "key", "query_id", "v"])
 
     index = written(base.mapInArrow(store, "t int, key long, vec_id long, v binary"), "ann-index")
-    sizes = index.groupBy("t", "key").agg(F.count("*").alias("n")).select("t", "key", F.ceil(F.col("n") / BUCKET).alias("parts"))
+    # no part holds more than a group's even share, so a bucket of very many rows is spread over the groups
+    most = min(BUCKET, max(LEAST, math.ceil(total * hashes.tables / groups)))
+    sizes = index.groupBy("t", "key").agg(F.count("*").alias("n")).select("t", "key", F.ceil(F.col("n") / most).alias("parts"))
     large = sizes.where("parts > 1")
     if large.limit(1).count():
-        large = written(large, "ann-large")
+        large = bounded_broadcast(written(large, "ann-large"), total * hashes.tables // most)  # each holds over ``most`` rows
         index = (index.join(large, ["t", "key"], "left")
                  .withColumn("part", F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1)))).drop("parts"))
     else:

@@ -25,6 +25,7 @@ def brute_neighbours(ids, x, query, k):
 @pytest.mark.parametrize("bucket", [ann.BUCKET, 40])
 def test_recall_and_scores(spark, monkeypatch, bucket):
     monkeypatch.setattr(ann, "BUCKET", bucket)
+    monkeypatch.setattr(ann, "LEAST", min(bucket, ann.LEAST))
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     ids, x = [r["vec_id"] for r in rows], [np.array(r["embedding"], np.float64) for r in rows]
     v = spark.createDataFrame([(r["vec_id"], r["embedding"], "x") for r in rows], "vec_id long, embedding array<float>, key string")
