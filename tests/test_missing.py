@@ -113,7 +113,7 @@ def category_rows(spark, n, levels, folds, text=False):
 @pytest.mark.parametrize("map_rows", [20_000, 0])
 @pytest.mark.parametrize("text", [False, True])
 def test_target_encoding_with_ten_folds(spark, monkeypatch, map_rows, text):
-    monkeypatch.setattr(enc.apply_lookup, "__defaults__", (None, map_rows))
+    monkeypatch.setattr(enc.apply_lookup, "__defaults__", (None, map_rows, *enc.apply_lookup.__defaults__[2:]))
     df = category_rows(spark, 400, 5, 10, text)
     out, cols = enc.target_oof(df, roles())
     pdf = df.toPandas()
