@@ -63,3 +63,29 @@ def test_selected_split_neither_shuffles_nor_joins(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not [w for w in ("Exchange", "Window", "Join", "Sort") if w in plan]
     assert out.select(R.key, "split").exceptAll(stratified_split(df, R).select(R.key, "split")).count() == 0
+
+
+def test_selected_split_with_ties_keeps_exact_counts(spark):
+    """A border falls among the copies of one key: 7 of 10 are train, 1 or 2 val."""
+    roles = Roles(key="k", label="y", continuous=(), categorical=())
+    rows = [("same", "a", i) for i in range(10)] + [(f"k{i // 3}", "b", i) for i in range(60)] + [(f"u{i}", "c", i) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, y string, x int").repartition(4)
+    want = stratified_split(df, roles).groupBy("k", "y", "split").count()
+    got = selected_split(df, roles, ties=True)
+    assert got.columns == ["k", "y", "x", "split"] and got.select("x", "y").distinct().count() == len(rows)
+    assert sorted(got.groupBy("k", "y", "split").count().collect()) == sorted(want.collect())
+
+
+def test_written_split_is_not_ranked(spark, monkeypatch):
+    """Only what needs ranks and folds ranks the rows; profiles do without the split."""
+    from gradewise.plans import queries as q
+
+    ranked, kept = [], []
+    monkeypatch.setattr(q, "stratified_split", lambda *a: ranked.append(1))
+    monkeypatch.setattr(q, "materialized", lambda s, name, code, inputs, build: kept.append(name) or build())
+    out = q.split_table(spark, SF_SMALL)
+    assert not ranked and kept == ["student_split", "student"]
+    assert out.columns[-1] == "split"
+    kept.clear()
+    q.standin(spark, SF_SMALL)
+    assert kept == ["student"]
