@@ -67,3 +67,15 @@ def test_parts_weighted_per_bootstrap_take_part_in_searches(rows):
     assert right / val.count() == pytest.approx(found[best]["val_accuracy"])
     with pytest.raises(ValueError):
         M.random_forest(M.RFParams(class_weight="balanced_subsample"))
+
+
+def test_training_rows_are_dealt_to_small_tasks(spark, rows, monkeypatch):
+    """However few partitions the rows come in, no task of a fit holds more than PART_ROWS (some slack for dealing)."""
+    monkeypatch.setattr(M, "PART_ROWS", 20)
+    one = rows.coalesce(1)
+    sizes = M.dealt(one).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 25 and max(r["count"] for r in sizes) <= 40 and sum(r["count"] for r in sizes) == 500
+    seen = []
+    monkeypatch.setattr(M, "Pipeline", lambda stages: type("P", (), {"fit": lambda self, df: seen.append(df.rdd.getNumPartitions())})())
+    M.fit(None, one)
+    assert seen[0] >= 25
