@@ -79,3 +79,5 @@ def test_training_rows_are_dealt_to_small_tasks(spark, rows, monkeypatch):
     monkeypatch.setattr(M, "Pipeline", lambda stages: type("P", (), {"fit": lambda self, df: seen.append(df.rdd.getNumPartitions())})())
     M.fit(None, one)
     assert seen[0] >= 25
+    monkeypatch.setattr(M, "PART_ROWS", 500)
+    assert M.dealt(one) is one
