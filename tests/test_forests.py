@@ -81,3 +81,13 @@ def test_training_rows_are_dealt_to_small_tasks(spark, rows, monkeypatch):
     assert seen[0] >= 25
     monkeypatch.setattr(M, "PART_ROWS", 500)
     assert M.dealt(one) is one
+
+
+def test_one_large_partition_is_dealt_to_all_cores(spark, monkeypatch):
+    """Also below PART_ROWS rows; a fit of one task leaves the other cores idle."""
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.range(0, 20_000, 1, 1)
+    sizes = [r["count"] for r in M.dealt(one).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == cores and max(sizes) <= 2 * 20_000 / cores and sum(sizes) == 20_000
+    even = spark.range(0, 20_000, 1, cores)
+    assert M.dealt(even) is even

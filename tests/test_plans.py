@@ -54,3 +54,17 @@ def test_correlation_has_no_python(spark):
     from __spark_entry__ import queries
     plan = _plan(queries()["profile_corr"](spark, SF_SMALL))
     assert "Python" not in plan
+
+
+def test_written_tables_of_one_task_are_read_by_several(spark, tmp_path, monkeypatch):
+    from gradewise.sources import materialize
+
+    source = str(tmp_path / "in.parquet")
+    spark.range(0, 1000, 1, 1).write.parquet(source)
+    monkeypatch.setattr(materialize, "FILE_ROWS", 100)
+    name = f"files_{tmp_path.name}"
+    out = materialize.materialized(spark, name, (), [source], lambda: spark.read.parquet(source).coalesce(1))
+    assert out.count() == 1000 and len(out.inputFiles()) == 10
+    monkeypatch.setattr(materialize, "SMALL_INPUT", 0)
+    out = materialize.materialized(spark, f"{name}_large", (), [source], lambda: spark.read.parquet(source).coalesce(1))
+    assert out.count() == 1000 and len(out.inputFiles()) == 1
