@@ -85,6 +85,7 @@ def test_training_rows_are_dealt_to_small_tasks(spark, rows, monkeypatch):
 
 def test_one_large_partition_is_dealt_to_all_cores(spark, monkeypatch):
     """Also below PART_ROWS rows; a fit of one task leaves the other cores idle."""
+    monkeypatch.setattr(M, "LEAST_ROWS", 10_000)
     cores = spark.sparkContext.defaultParallelism
     one = spark.range(0, 20_000, 1, 1)
     sizes = [r["count"] for r in M.dealt(one).groupBy(F.spark_partition_id()).count().collect()]
