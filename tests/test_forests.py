@@ -55,6 +55,19 @@ def test_search_fits_shared_trees_once(rows, monkeypatch):
         forests.Forest([(3, None)]).prefix(2)
 
 
+def test_search_fits_unbounded_and_deepest_trees_once(rows, monkeypatch):
+    """Spark ML's forests end at that depth; those weighted per bootstrap do not."""
+    fitted = []
+    real = forests.fit_parts
+    monkeypatch.setattr(forests, "fit_parts", lambda p, *a: fitted.append((p.class_weight, p.max_depth)) or real(p, *a))
+    cfgs = grid({"class_weight": [None, "balanced_subsample"], "max_depth": [None, 3, M.DEEPEST], "min_instances": [1], "num_trees": [2]})
+    found, *_ = forests.search(cfgs, lambda c: M.RFParams(c["num_trees"], c["max_depth"], c["min_instances"], c["class_weight"]),
+                               rows.where("i < 350"), rows.where("i >= 350"))
+    assert fitted == [(None, M.DEEPEST), (None, 3), ("balanced_subsample", None), ("balanced_subsample", 3), ("balanced_subsample", M.DEEPEST)]
+    assert [{k: r[k] for k in cfgs[0]} for r in found] == cfgs
+    assert {k: v for k, v in found[0].items() if k != "max_depth"} == {k: v for k, v in found[2].items() if k != "max_depth"}
+
+
 def test_parts_weighted_per_bootstrap_take_part_in_searches(rows):
     train, val = rows.where("i < 350"), rows.where("i >= 350")
     cfgs = grid({"class_weight": ["balanced_subsample"], "max_depth": [None], "min_instances": [1], "num_trees": [2, 6]})
