@@ -105,3 +105,15 @@ def test_one_large_partition_is_dealt_to_all_cores(spark, monkeypatch):
     assert len(sizes) == cores and max(sizes) <= 2 * 20_000 / cores and sum(sizes) == 20_000
     even = spark.range(0, 20_000, 1, cores)
     assert M.dealt(even) is even
+
+
+def test_shallow_forests_write_no_node_ids(spark, rows):
+    """Their lineage is short; deep ones cut it now and then."""
+    assert M.random_forest(M.RFParams()).getCheckpointInterval() == -1
+    assert M.random_forest(M.RFParams(max_depth=None)).getCheckpointInterval() == 10
+    at = spark.sparkContext.getCheckpointDir()
+    files = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at).count()
+    spark.range(1).checkpoint()  # a folder without files cannot be read
+    before = files()
+    M.fit(M.random_forest(M.RFParams(num_trees=2, max_depth=12, min_instances=1, class_weight=None)), rows)
+    assert files() == before
